@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siltstone.llm import q_ranking, q_splits, q_text
+from siltstone.llm import q_neardup, q_ranking, q_splits, q_text
 
-MODULES = [q_splits, q_text, q_ranking]
+MODULES = [q_splits, q_text, q_neardup, q_ranking]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
