@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 from siltstone.functions.ids import reference_id
 from siltstone.llm.components import extend
 from siltstone.operators.skew import salted_join
+from siltstone.storage import cut
 
 LARGE = 1000
 SIDES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
 def node(kind: str, label) -> F.Column:
-    return F.md5(F.concat(F.lit(kind + ":"), label))
+    return F.unhex(F.md5(F.concat(F.lit(kind + ":"), label)))
 
 
 def legal_records(queries: DataFrame, docs: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,9 +69,9 @@ def stored_sides(split: DataFrame) -> DataFrame:
 
 def grouped(records: DataFrame, ties: DataFrame, sides: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``record_roots(node, kind, record_id, root)`` and the stored component table."""
-    everything = records.select("node", "kind", "record_id").union(sides.select("node", "kind", "record_id")).distinct()
+    everything = cut(records.select("node", "kind", "record_id").union(sides.select("node", "kind", "record_id")).distinct(), "records")
     table, _ = extend(stored, everything.select("node"), ties)
-    return everything.join(table, "node"), table
+    return cut(everything.join(table, "node"), "roots"), table
 
 
 def root_sides(roots: DataFrame, sides: DataFrame) -> DataFrame:
@@ -100,13 +101,13 @@ def assign(components: DataFrame, proportions: dict[str, float] = SIDES, large:
         lack[side] -= r["n_records"]
         dealt.append((r["root"], side))
     rest = sum(max(0.0, x) for x in lack.values()) or 1.0
-    u = F.conv(F.substring("root", 1, 12), 16, 10).cast("double") / float(16**12)
+    u = F.conv(F.substring(F.hex("root"), 1, 12), 16, 10).cast("double") / float(16**12)
     pick, edge = None, 0.0
     for s in proportions:
         edge += max(0.0, lack[s]) / rest
         pick = F.when(u < edge, s) if pick is None else pick.when(u < edge, s)
     by_hash = pick.otherwise(max(proportions, key=lambda s: proportions[s]))
-    hand = components.sparkSession.createDataFrame(dealt, "root string, dealt string")
+    hand = components.sparkSession.createDataFrame(dealt, "root binary, dealt string")
     out = components.join(F.broadcast(hand), "root", "left")  # at most `large` rows
     side = F.when(n > 1, None).when(n == 1, F.col("held")[0]).otherwise(F.coalesce("dealt", by_hash))
     return out.select("root", "n_records", side.alias("side"), (F.coalesce(n, F.lit(0)) > 1).alias("quarantined"))
@@ -116,7 +117,7 @@ def split(records: DataFrame, ties: DataFrame, sides: DataFrame, proportions: di
     """``kind, record_id, component, side, quarantined`` of every record."""
     roots, _ = grouped(records, ties, sides)
     given = assign(root_sides(roots, sides), proportions).select("root", "side", "quarantined")
-    return salted_join(roots, given, ["root"], ["node"]).select("kind", "record_id", F.col("root").alias("component"), "side", "quarantined")
+    return salted_join(roots, given, ["root"], ["node"]).select("kind", "record_id", F.lower(F.hex("root")).alias("component"), "side", "quarantined")
 
 
 def conflicts(records: DataFrame, ties: DataFrame, sides: DataFrame, queries: DataFrame) -> DataFrame:
