@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siltstone.llm import q_encode, q_leaks, q_neardup, q_ranking, q_splits, q_text
+from siltstone.llm import q_encode, q_language, q_leaks, q_neardup, q_ranking, q_splits, q_text
 
-MODULES = [q_splits, q_text, q_neardup, q_ranking, q_encode, q_leaks]
+MODULES = [q_splits, q_text, q_neardup, q_ranking, q_encode, q_leaks, q_language]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
