@@ -29,7 +29,7 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     main = F.array_max(by)["c"]
     own = F.filter("segments", lambda s: s["lang_code"] == main)
     words = F.aggregate(own, F.lit(0.0), lambda n, s: n + s["n_words"])
-    sure = F.aggregate(own, F.lit(0.0), lambda n, s: n + s["n_words"] * s["confidence"]) / words
+    sure = F.try_divide(F.aggregate(own, F.lit(0.0), lambda n, s: n + s["n_words"] * s["confidence"]), words)
     return t.select(F.col("doc_key.doc_id").alias("doc_id"), main.alias("lang_code"), sure.alias("confidence"), F.sort_array(held(t)).alias("held"), "n_words")
 
 
