@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import integrity
+from siltstone.plans import integrity, texts
 
-MODULES = [integrity]
+MODULES = [integrity, texts]
 
 
 def queries() -> dict:
