@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import integrity, texts
+from siltstone.plans import integrity, retrieval, texts
 
-MODULES = [integrity, texts]
+MODULES = [integrity, texts, retrieval]
 
 
 def queries() -> dict:
