@@ -69,7 +69,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def bag(text: str, words: int, min_words: int, known: _WordHashes) -> tuple[np.ndarray, np.ndarray] | None:
-    """Sorted distinct shingle hashes and their counts; None if the text takes no part."""
+    """Sorted distinct 48-bit shingle hashes and their counts; None if the text takes no part."""
     found = _word.findall(text.lower())
     n = len(found) - words + 1
     if n < 1 or len(found) < min_words:
@@ -80,7 +80,18 @@ def bag(text: str, words: int, min_words: int, known: _WordHashes) -> tuple[np.n
         s *= _STEP
         s ^= s >> np.uint64(32)
         s += h[k : k + n]
-    return np.unique(mix(s), return_counts=True)
+    return np.unique(mix(s) >> np.uint64(16), return_counts=True)
+
+
+def packed(elements: np.ndarray) -> bytes:
+    """Elements as six bytes each."""
+    return np.ascontiguousarray(elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def signatures(sizes: np.ndarray, elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
@@ -196,7 +207,7 @@ def signature_table(texts: DataFrame, words: int, min_words: int, weighted: bool
 
 def similarity(a: bytes, wa: bytes | None, b: bytes, wb: bytes | None, weighted: bool) -> float:
     """Jaccard similarity of two bags, of their distinct elements unless ``weighted``."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = unpacked(a), unpacked(b)
     if not weighted or wa is None and wb is None:
         same = len(np.intersect1d(x, y, assume_unique=True))
         return same / (len(x) + len(y) - same)
@@ -235,20 +246,22 @@ def links(texts: DataFrame, words: int = 5, threshold: float = 0.8, min_words: i
     sig = cut(signature_table(texts, words, min_words, weighted, bands, rows), "signatures")
     members = sig.select("class_key", "id").distinct()
     first = sig.filter("keys is not null")
-    band = first.select(F.explode("keys").alias("key"), F.col("c").alias("a"), F.col("size").alias("na")).repartition("key").dropDuplicates(["key", "a", "na"])
-    near = band.join(band.select("key", F.col("a").alias("b"), F.col("na").alias("nb")), "key").filter("a < b")
-    near = near.filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")).select("a", "b").distinct()
-    bits = first.select("c", "bits").dropDuplicates(["c"])
-    near = near.join(bits.select(F.col("c").alias("a"), F.col("bits").alias("xa")), "a").join(bits.select(F.col("c").alias("b"), F.col("bits").alias("xb")), "b")
-    differ = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # A band row carries its text's whole sketch, so that what shares a band by chance is left out inside the join.
     m = bands * rows
-    pairs = cut(near.filter(m - differ >= least_agreement(threshold, m)).select("a", "b"), "candidates")
+    sketched = [F.get("bits", F.lit(i)).alias(f"xa{i}") for i in range(-(-m // 64))]
+    band = first.select(F.explode("keys").alias("key"), F.col("c").alias("a"), F.col("size").alias("na"), *sketched)
+    band = band.repartition("key").dropDuplicates(["key", "a"])
+    other = band.select("key", *[F.col(c).alias(c.replace("a", "b")) for c in band.columns[1:]])
+    differ = sum((F.bit_count(F.col(f"xa{i}").bitwiseXOR(F.col(f"xb{i}"))) for i in range(len(sketched))), F.lit(0))
+    alike = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (m - differ >= least_agreement(threshold, m))
+    near = band.join(other, "key").filter((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+    pairs = cut(near, "candidates")
     chosen = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     ids = first.join(chosen, "c", "left_semi").groupBy("class_key").agg(F.min("id").alias("id")).select("id").distinct()
     # A repeated id may carry several texts, so bags are named by their own class key.
-    bags = bag_classes(texts.join(ids, "id", "left_semi"), words, min_words, weighted)
-    bags = cut(bags.join(chosen, "c", "left_semi").dropDuplicates(["id"]), "bags")
-    return cut(verified(pairs, bags, threshold, weighted), "links"), members
+    bags = bag_classes(texts.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), words, min_words, weighted)
+    bags = cut(bags.join(chosen, "c", "left_semi"), "bags")
+    return cut(verified(pairs, bags, threshold, weighted).distinct(), "links"), members
 
 
 def bag_classes(texts: DataFrame, words: int, min_words: int, weighted: bool) -> DataFrame:
@@ -262,7 +275,7 @@ def bag_classes(texts: DataFrame, words: int, min_words: int, weighted: bool) ->
                 got = bag(text, words, min_words, known)
                 if got is not None:
                     keys.append(_class_key(got if weighted else (got[0], np.ones_like(got[1])), weighted))
-                    a.append(got[0].tobytes())
+                    a.append(packed(got[0]))
                     w.append(got[1].astype(np.uint32).tobytes() if weighted and (got[1] > 1).any() else None)
             c = [int.from_bytes(bytes.fromhex(k)[:8], "little", signed=True) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(c, pa.int64()), pa.array(a, pa.binary()), pa.array(w, pa.binary())], ["id", "c", "elements", "weights"])
