@@ -9,9 +9,9 @@ segments, and pooled probabilities of a segment's words give its confidence.
 Documents never leave their partition.
 
 The network is trained in numpy on clean reference samples, then once more
-with words of at most ``SAMPLE_DOCS`` labelled documents of at most
-``SAMPLE_BYTES`` each, the ones of smallest md5 of their id, as far as the
-first network finds the labelled language, and only it, in them.  Accents are also trained
+with words of about ``SAMPLE_DOCS`` labelled documents (never over twice as
+many) of at most ``SAMPLE_BYTES`` each, a share of all by the hash of their id,
+as far as the first network finds the labelled language, and only it, in them.  Accents are also trained
 stripped, as text typed without them is common.
 
 Defined results: null, empty and wordless texts have no language; words of no
@@ -176,8 +176,11 @@ def train(samples: list[tuple[str, str]], labelled: list[tuple[str, str]] = (),
 def trained(samples: DataFrame, docs: DataFrame, key: str, text: str, label: str, sample_docs: int = SAMPLE_DOCS) -> BiGRU:
     """Trains on the reference table (of fixed size) and the bounded sample of documents."""
     clean = [(r[0], r[1]) for r in samples.filter(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull()).orderBy("sample_id").select("lang", "text").limit(10_000).collect()]
-    some = docs.filter(F.col(text).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES) & F.col(label).isNotNull())
-    some = some.select(F.md5(F.col(key).cast("string")).alias("o"), F.col(label).alias("l"), F.col(text).alias("t")).orderBy("o", "l", "t").limit(sample_docs).collect()
+    some = docs.filter(F.col(text).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES) & F.col(label).isNotNull() & F.col(key).isNotNull())
+    # A share of the ids by their hash, so that no task sends more than its part of the sample.
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    some = some.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = sorted(some.select(F.col(key).cast("string").alias("k"), F.col(label).alias("l"), F.col(text).alias("t")).limit(2 * sample_docs).collect())
     return train(clean, [(c, r["t"]) for r in some if (c := label_code(r["l"]))])
 
 
