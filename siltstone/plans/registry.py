@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import integrity, retrieval, texts
+from siltstone.plans import branches, integrity, retrieval, texts
 
-MODULES = [integrity, texts, retrieval]
+MODULES = [integrity, texts, retrieval, branches]
 
 
 def queries() -> dict:
