@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import branches, integrity, retrieval, texts
+from siltstone.plans import branches, integrity, retrieval, structure, texts
 
-MODULES = [integrity, texts, retrieval, branches]
+MODULES = [integrity, texts, structure, retrieval, branches]
 
 
 def queries() -> dict:
