@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import branches, integrity, retrieval, structure, texts
+from siltstone.plans import branches, evidence, integrity, retrieval, structure, texts
 
-MODULES = [integrity, texts, structure, retrieval, branches]
+MODULES = [integrity, texts, structure, retrieval, branches, evidence]
 
 
 def queries() -> dict:
