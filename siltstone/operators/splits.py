@@ -7,7 +7,6 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators.ranking import best
 from siltstone.operators.skew import salted_join
 from siltstone.storage import cut
 
@@ -115,7 +114,6 @@ def subset(queries: DataFrame, relevant: DataFrame, docs: DataFrame, n_queries:
     """A repeatable small set: queries by md5 order, all their relevant documents, and others up to ``n_docs``."""
     q = queries.select("query_id").distinct().orderBy(F.md5("query_id")).limit(n_queries)
     need = relevant.join(q, "query_id", "left_semi").select("doc_id").distinct().join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("positive", F.lit(True))
-    others = docs.select("doc_id").distinct().join(need, "doc_id", "left_anti").orderBy(F.md5("doc_id")).limit(n_docs)
-    every = need.unionByName(others.withColumn("positive", F.lit(False)))
-    w = best(every.withColumn("_g", F.lit(0)), ["_g"], [F.desc("positive"), F.md5("doc_id")], 2**31 - 1, "place")
-    return q, w.filter(F.col("positive") | (F.col("place") <= n_docs)).select("doc_id", "positive")
+    room = max(0, n_docs - need.count())
+    others = docs.select("doc_id").distinct().join(need, "doc_id", "left_anti").orderBy(F.md5("doc_id")).limit(room).withColumn("positive", F.lit(False))
+    return q, need.unionByName(others)
