@@ -16,8 +16,9 @@ Texts with equal bags form one class first; only classes are banded.  Classes
 that share a band and whose sizes allow the threshold are compared by one bit
 of every register, which leaves out pairs 4.2 standard deviations below the
 agreement expected at the threshold, and the others are verified on the whole
-bags.  A pair at the threshold is missed with probability
-``(1 - t**rows)**bands``, about 0.0013 at 0.6, less above it.
+bags.  Bands have as many rows as ``REGISTERS`` registers allow while a pair at
+the threshold is missed with a probability of ``MISSED`` at most; pairs above
+it are missed less.
 
 Words are runs of letters and digits of the lower-cased text.  Defined results:
 null texts, and texts with fewer than ``min_words`` words or no shingle, take no
@@ -43,7 +44,7 @@ from siltstone.llm.components import solve
 from siltstone.operators.skew import salted_join
 from siltstone.storage import cut
 
-BANDS, ROWS = 48, 4
+MISSED, REGISTERS = 0.0015, 256
 _word = re.compile(r"[^\W_]+")
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,6 +134,17 @@ def signatures(sizes: np.ndarray, elements: np.ndarray, weights: np.ndarray, m:
     return times.view(np.uint64).reshape(texts, m)
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """Bands and rows for a threshold: a pair at it shares no band with probability ``(1 - t**rows)**bands``."""
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold lies between 0 and 1")
+    for rows in range(8, 0, -1):
+        hit = threshold**rows
+        bands = 1 if hit >= 1 else math.ceil(math.log(MISSED) / math.log(1 - hit))
+        if bands * rows <= REGISTERS or rows == 1:
+            return bands, rows
+
+
 def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         r = registers[:, : bands * rows].reshape(len(registers), bands, rows)
@@ -164,7 +176,7 @@ def least_agreement(threshold: float, m: int) -> int:
     return math.floor(m * p - 4.2 * math.sqrt(m * p * (1 - p)))
 
 
-def signature_table(texts: DataFrame, words: int, min_words: int, weighted: bool, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signature_table(texts: DataFrame, words: int, min_words: int, weighted: bool, bands: int, rows: int) -> DataFrame:
     """``id, class_key, c, size, keys, bits`` of ``texts(id, text)`` that take part.
 
     ``c`` is a number made from the class key; two classes with one number are
@@ -236,12 +248,13 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float, weighted: bool
     return near.select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(work, "a string, b string, similarity double")
 
 
-def links(texts: DataFrame, words: int = 5, threshold: float = 0.8, min_words: int = 1, weighted: bool = True, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+def links(texts: DataFrame, words: int = 5, threshold: float = 0.8, min_words: int = 1, weighted: bool = True, bands_rows: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Links between classes of equal bags and the classes' members.
 
     ``texts(id, text)``.  Returns ``(a, b, similarity)`` with class keys
     ``a < b`` and ``(class_key, id)``.
     """
+    bands, rows = bands_rows or banding(threshold)
     texts = texts.select(F.col("id").cast("string").alias("id"), "text")
     sig = cut(signature_table(texts, words, min_words, weighted, bands, rows), "signatures")
     members = sig.select("class_key", "id").distinct()
