@@ -49,15 +49,14 @@ def title_index(docs: DataFrame) -> DataFrame:
 
 def contained(queries: DataFrame, titles: DataFrame) -> DataFrame:
     """``query_id, title, bare`` of the titles inside each query's text; both sides have ``text`` or ``title`` and ``bare``."""
-    key = F.struct(F.least(F.length("title"), F.lit(SHORT)).alias("n"), F.right("title", F.lit(SHORT)).alias("s"))
-    t = titles.select("title", "bare").distinct().withColumn("key", key)
+    # A key is as long as its title up to SHORT characters, so keys of different lengths never meet.
+    t = titles.select("title", "bare").distinct().withColumn("key", F.right("title", F.lit(SHORT)))
     text = F.col("text")
 
     def of(n: int) -> Column:
-        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.substr(text, i, F.lit(n)).alias("s")))).otherwise(F.array().cast("array<struct<n:int,s:string>>"))
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    grams = F.array_distinct(F.flatten(F.array(*[of(n) for n in range(LEAST, SHORT + 1)])))
-    q = queries.select("query_id", "bare", "text", F.explode(grams).alias("key"))
+    q = queries.select("query_id", "bare", "text", F.explode(F.flatten(F.array(*[of(n) for n in range(LEAST, SHORT + 1)]))).alias("key"))
     return q.join(t, ["bare", "key"]).filter(F.contains("text", F.col("title"))).select("query_id", "title", "bare").distinct()
 
 

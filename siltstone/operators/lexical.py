@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators.ranking import best, roll_up, steady
+from siltstone.storage import cut
 
 K1, B = 1.5, 0.75
+BROADCAST_TERMS = 100_000
 #: Field weights, of which the whole part counts, and boosts for legal signals.
 FIELD_WEIGHTS = {"body": 1.0, "legal_number": 5.0, "title": 3.0, "article": 2.5, "clause": 1.5, "slug": 1.5}
 SEGMENTED_WEIGHTS = {"body": 1.0, "legal_number": 4.0, "title": 3.0, "article": 2.0, "clause": 1.0, "slug": 1.0}
@@ -50,10 +52,11 @@ def build(chunks: DataFrame, weights: dict[str, float] = FIELD_WEIGHTS, tokens=X
     rows = chunks.select("chunk_id", "doc_id", F.array(*[F.struct(F.lit(int(weights[k])).alias("w"), c.alias("t")) for k, c in f.items()]).alias("f"))
     length = F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + x["w"] * F.size(x["t"]))
     rows = rows.withColumn("len", length)
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
     each = rows.select("chunk_id", "doc_id", "len", F.explode("f").alias("f")).select("chunk_id", "doc_id", "len", "f.w", F.explode("f.t").alias("term"))
-    postings = each.groupBy("chunk_id", "doc_id", "len", "term").agg(F.sum("w").cast("long").alias("tf"))
-    return Index(postings, size["n"], size["mean"] or 1.0)
+    # Written once: texts are split into tokens in one pass, whatever reads the index.
+    postings = cut(each.groupBy("chunk_id", "doc_id", "len", "term").agg(F.sum("w").cast("long").alias("tf")), "postings")
+    n, total = chunks.count(), postings.agg(F.sum("tf")).first()[0] or 0
+    return Index(postings, n, total / n if total else 1.0)
 
 
 def query_terms(queries: DataFrame, column: str, tokens=X.legal_tokens) -> DataFrame:
@@ -62,13 +65,16 @@ def query_terms(queries: DataFrame, column: str, tokens=X.legal_tokens) -> DataF
 
 def scores(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, chunk_id, doc_id, raw_score`` of every chunk that shares a term with a query."""
-    hit = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = cut(terms, "terms")
+    # A bounded set of query terms goes to every task, so that a chunk's terms are summed where its postings lie;
+    # a larger one is joined by a shuffle on the term.
+    few = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda df: df
+    df = index.postings.join(few(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln((index.n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     q = terms.join(df, "term").select("query_id", "term", (idf * F.col("qtf")).alias("w"))
     tf, length = F.col("tf"), F.col("len")
     part = F.col("w") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * (length / index.mean_length)))
-    return hit.join(q, "term").groupBy("query_id", "chunk_id", "doc_id").agg(F.sum(part).alias("raw_score"))
+    return index.postings.join(few(q), "term").groupBy("query_id", "chunk_id", "doc_id").agg(F.sum(part).alias("raw_score"))
 
 
 def cut_off(scored: DataFrame, top_k: int) -> DataFrame:
@@ -103,10 +109,10 @@ def boost(weights: dict[str, float] = BOOSTS) -> Column:
     return sum((F.when(t, F.lit(weights[k])).otherwise(0.0) for k, t in tests.items()), F.lit(0.0))
 
 
-def boosted(cut: DataFrame, chunks: DataFrame, signals: DataFrame, weights: dict[str, float] = BOOSTS) -> DataFrame:
+def boosted(kept: DataFrame, chunks: DataFrame, signals: DataFrame, weights: dict[str, float] = BOOSTS) -> DataFrame:
     """Cut-off chunks with ``boost`` and ``score``; a boost never brings back a chunk below the cut."""
     meta = chunks.select("chunk_id", "article", "clause", "point", "legal_number", "year", "doc_type")
-    rows = cut.join(meta, "chunk_id").join(signals, "query_id")
+    rows = kept.join(meta, "chunk_id").join(signals, "query_id")
     b = boost(weights)
     return rows.select("query_id", "chunk_id", "doc_id", "raw_score", b.alias("boost"), (F.col("raw_score") + b).alias("score"))
 
@@ -118,6 +124,6 @@ def documents(scored: DataFrame, top_k: int) -> DataFrame:
 
 def search(chunks: DataFrame, queries: DataFrame, column: str, top_k: int = 100, weights: dict[str, float] = FIELD_WEIGHTS, tokens=X.legal_tokens, boosts: dict[str, float] | None = BOOSTS) -> DataFrame:
     """Index enriched chunks, score all queries and return ranked documents."""
-    cut = cut_off(scores(build(chunks, weights, tokens), query_terms(queries, column, tokens)), top_k)
-    scored = boosted(cut, chunks, query_signals(queries, column), boosts) if boosts else cut.withColumn("score", F.col("raw_score"))
+    kept = cut_off(scores(build(chunks, weights, tokens), query_terms(queries, column, tokens)), top_k)
+    scored = boosted(kept, chunks, query_signals(queries, column), boosts) if boosts else kept.withColumn("score", F.col("raw_score"))
     return documents(scored.filter("doc_id is not null"), top_k)

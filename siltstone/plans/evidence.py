@@ -233,7 +233,7 @@ def _shown(c: str) -> str:
 
 
 _INFO = f"""body AS (SELECT {P.given('document_id')} AS doc_id, chunk_id, {_shown('article')} AS article, {_shown('clause')} AS clause, {_shown('point')} AS point, {_shown("CASE WHEN text_raw <> '' THEN text_raw ELSE text_norm END")} AS body FROM cks WHERE granularity = 'macro'),
-  info AS MATERIALIZED (SELECT *, {P.word_tokens('body')} AS tokens, {_loose('điều', '[0-9]+[a-zA-Z]?', 'article')} AS articles, {_loose('khoản', '[0-9]+[a-zA-Z]?', 'clause')} AS clauses, {_loose('điểm', '[a-zA-Z0-9]+', 'point')} AS points FROM body WHERE doc_id IS NOT NULL)"""
+  info AS MATERIALIZED (SELECT *, {P.word_tokens('body')} AS tokens, {_loose('điều', '[\\p{Nd}]+[a-zA-Z]?', 'article')} AS articles, {_loose('khoản', '[\\p{Nd}]+[a-zA-Z]?', 'clause')} AS clauses, {_loose('điểm', '[a-zA-Z\\p{Nd}]+', 'point')} AS points FROM body WHERE doc_id IS NOT NULL)"""
 _QI = f"""qi AS MATERIALIZED (SELECT query_id, {P.word_tokens(_CLEANQ)} AS w, list_transform({P.articles(_CLEANQ)}, lambda e: lower(e)) AS qa, list_transform({P.clauses(_CLEANQ)}, lambda e: lower(e)) AS qc, list_transform({P.points(_CLEANQ)}, lambda e: lower(e)) AS qp,
   list_transform({P.doc_numbers(_CLEANQ)}, lambda e: lower(e)) AS qn, {P.years(_CLEANQ)} AS qy FROM qs)"""
 _E3 = f"""{_CAND}, {_INFO}, {_QI},

@@ -40,7 +40,7 @@ def a02_distinct(s, d):
 
 def a03_argmax(s, d):
     e = table(s, d, "events").filter("user_id is not null")
-    return e.groupBy("user_id").agg(F.max(F.struct("value", "event_id"))["event_id"].alias("best_event"), F.round(F.max("value"), 4).alias("top"), F.round(F.avg("value"), 4).alias("mean"))
+    return e.groupBy("user_id").agg(F.max(F.struct("value", "event_id"))["event_id"].alias("best_event"), F.round(F.max("value"), 4).alias("top"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 def a04_population_std(s, d):
@@ -160,7 +160,7 @@ SQL = {
     "q03_top_orders": "SELECT o_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY o_orderkey ORDER BY 2 DESC, 1 LIMIT 10",
     "q05_nations": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
     "a02_distinct": "SELECT event_type, count(DISTINCT user_id) AS n_users, count(*) AS n FROM events GROUP BY event_type",
-    "a03_argmax": "SELECT user_id, first(event_id ORDER BY value DESC, event_id DESC) AS best_event, round(max(value), 4) AS top, round(avg(value), 4) AS mean FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
+    "a03_argmax": "SELECT user_id, first(event_id ORDER BY value DESC, event_id DESC) AS best_event, round(max(value), 4) AS top, round(avg(value), 6) AS mean FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
     "a04_population_std": "SELECT o_orderpriority, round(avg(o_totalprice), 2) AS mean, round(stddev_pop(o_totalprice), 2) AS std FROM orders GROUP BY ALL",
     "a06_pivot": "SELECT query_id, " + ", ".join(f"count(*) FILTER (branch = '{b}') AS {b}" for b in ("bm25", "bm25_pyvi", "dense", "exact")) + " FROM static_candidates GROUP BY query_id",
     "a07_rollup": "SELECT coalesce(p_brand, 'all') AS brand, coalesce(CAST(p_size AS VARCHAR), 'all') AS size, count(*) AS n, grouping_id(p_brand, p_size) AS level FROM part GROUP BY ROLLUP (p_brand, p_size)",

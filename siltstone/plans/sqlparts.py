@@ -69,7 +69,7 @@ def pretty_title(x: str) -> str:
 
 
 def doc_numbers(cleaned: str) -> str:
-    p = rf"(?i){B0}(\d{{1,5}}/(?:\d{{4}}(?:/[A-ZĐa-z\-]*[A-ZĐa-z])?|(?:[A-ZĐa-z]+-[A-ZĐa-z]+)))"
+    p = rf"(?i){B0}(\p{{Nd}}{{1,5}}/(?:\p{{Nd}}{{4}}(?:/[A-ZĐa-z\-]*[A-ZĐa-z])?|(?:[A-ZĐa-z]+-[A-ZĐa-z]+)))"
     return distinct(f"list_transform({found(cleaned, p, 1)}, lambda e: upper(e))")
 
 
@@ -79,20 +79,20 @@ def _after(cleaned: str, word: str, value: str) -> str:
 
 
 def articles(cleaned: str) -> str:
-    return _after(cleaned, "điều", r"\d+[a-zA-Z]?")
+    return _after(cleaned, "điều", r"\p{Nd}+[a-zA-Z]?")
 
 
 def clauses(cleaned: str) -> str:
-    return _after(cleaned, "khoản", r"\d+[a-zA-Z]?")
+    return _after(cleaned, "khoản", r"\p{Nd}+[a-zA-Z]?")
 
 
 def points(cleaned: str) -> str:
-    return _after(cleaned, "điểm", r"[a-zA-Z\d]+")
+    return _after(cleaned, "điểm", r"[a-zA-Z\p{Nd}]+")
 
 
 def years(cleaned: str) -> str:
-    p = rf"(?i){B0}(năm{WS}+\d{{4}}|19\d{{2}}|20\d{{2}})\b"
-    return distinct(f"list_transform({found(cleaned, p, 1)}, lambda e: right(e, 4))")
+    p = rf"(?i){B0}(năm{WS}+\p{{Nd}}{{4}}|19\p{{Nd}}{{2}}|20\p{{Nd}}{{2}}){B1}"
+    return distinct(f"list_transform({found(rep(cleaned, ' ', '  '), p, 1)}, lambda e: right(e, 4))")
 
 
 def doc_types(x: str) -> str:
