@@ -93,7 +93,7 @@ def fold_violations(folds: DataFrame, queries: DataFrame, relevant: DataFrame) -
 def disjoint_violations(sides: DataFrame, relevant: DataFrame) -> DataFrame:
     """``check_name, n`` for a division ``query_id, side`` that must not share queries or relevant documents."""
     both = lambda df, key: df.groupBy(key).agg(F.count_distinct("side").alias("n")).filter("n > 1")
-    docs = salted_join(relevant, sides.select("query_id", "side").distinct(), ["query_id"], ["doc_id"])
+    docs = salted_join(relevant.select("query_id", "doc_id").dropna(), sides.select("query_id", "side").distinct(), ["query_id"], ["doc_id"])
     return _counted({"query on both sides": both(sides, "query_id"), "relevant document on both sides": both(docs, "doc_id")})
 
 
