@@ -176,3 +176,50 @@ def losses(temperature: float = 1.0, margin: float = 1.0) -> dict[str, Column]:
     top = F.array_max(s)
     lse = top + F.ln(F.aggregate(s, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
     return {"bce": soft(x) - x * y, "pairwise_logistic": soft(-gap), "pairwise_margin": F.greatest(F.lit(0.0), margin - (F.col("pos") - F.col("neg"))), "listwise": lse - F.get(s, F.lit(0))}
+
+
+def boosted_ranker(df: DataFrame, columns: list[str], label: str = "label", rounds: int = 20, depth: int = 5, seed: int = 42):
+    """Gradient-boosted trees on single candidates, in place of a listwise ranker that Spark does not have.
+
+    The result is an approximation of its own, not the listwise model's.
+    Returns a function from feature rows to rows with ``final_score`` and
+    ``final_rank``; without rows to learn from it ranks by fixed fusion.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    if not df.limit(1).count():
+        return lambda x: x.join(rank_by_fixed(x).select("query_id", "doc_id", "final_score", "final_rank"), ["query_id", "doc_id"])
+    pack = VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="error")
+    clean = lambda x: x.na.fill(0.0, columns)
+    model = GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="final_score", maxIter=rounds, maxDepth=depth, seed=seed).fit(pack.transform(clean(df)))
+
+    def rank(x: DataFrame) -> DataFrame:
+        scored = model.transform(pack.transform(clean(x))).drop("_x")
+        return best(scored, ["query_id"], [F.desc(steady("final_score")), F.asc("doc_id")], 2**31 - 1, "final_rank")
+
+    return rank
+
+
+def union_matrix(candidates: DataFrame, relevant: DataFrame | None = None) -> DataFrame:
+    """Whole-number ranks (999 where a branch lacks the document), scores, number of sources and label of fused candidates."""
+    names = [c for c in candidates.columns if c.endswith(("_rank", "_score")) and c not in ("final_rank", "final_score")]
+    cols = [F.coalesce(F.col(c).cast("int"), F.lit(999)).alias(c) if c.endswith("_rank") else safe_number(F.col(c)).alias(c) for c in names]
+    out = candidates.select("query_id", "doc_id", "source_count", *cols)
+    if relevant is None:
+        return out
+    gold = relevant.select("query_id", "doc_id", F.lit(1).alias("label")).distinct()
+    return out.join(gold, ["query_id", "doc_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def parameter_budget(parts: dict[str, int], most: int = 4_000_000_000) -> tuple[int, bool]:
+    """Total learned parameters and whether they stay below the limit."""
+    total = sum(parts.values())
+    return total, total < most
+
+
+def projected_seconds(measured: float, done: int, total: int, fixed: float = 0.0) -> float:
+    """Seconds for ``total`` units from a measured part, with a share that does not grow."""
+    if done <= 0 or measured < fixed:
+        raise ValueError("a projection needs finished work")
+    return fixed + (measured - fixed) * total / done

@@ -101,3 +101,25 @@ def answers(ranked: DataFrame, k: int = 5, fill: int | None = None, fallback: li
     more = F.array(*[F.lit(x) for x in extra]).cast("array<string>")
     need = F.greatest(F.size(chosen), F.lit(fill or 1))
     return got.select("query_id", F.slice(F.array_distinct(F.concat(chosen, more)), F.lit(1), need).alias("answer"))
+
+
+#: Names under which the columns of a candidate table may come.
+NAMES = {"query_id": ("query_id", "qid"), "question": ("question", "query_text", "query", "question_raw"), "doc_id": ("doc_id", "document_id"), "chunk_id": ("chunk_id", "best_chunk_id"), "passage": ("passage", "evidence_text", "text", "text_norm", "text_raw")}
+
+
+def evaluated_table(table: DataFrame, relevant: DataFrame, score=shared_words, policy: str = "max", k: int = 5) -> tuple[str, DataFrame | list[str]]:
+    """Score a candidate table of any of the known column names, bring chunks to documents and measure.
+
+    ``("PASS", measures)``, or ``("BLOCKED", missing columns)``.
+    """
+    from siltstone.operators.metrics import ranking_measures
+    from siltstone.operators.ranking import chunks_to_documents
+
+    at = {want: next((n for n in names if n in table.columns), None) for want, names in NAMES.items()}
+    missing = [w for w, n in at.items() if n is None and w != "chunk_id"]
+    if missing:
+        return "BLOCKED", missing
+    rows = table.select(F.col(at["query_id"]).cast("string").alias("query_id"), F.col(at["doc_id"]).cast("string").alias("doc_id"), F.col(at["chunk_id"] or at["doc_id"]).cast("string").alias("chunk_id"), score(F.col(at["question"]), F.col(at["passage"])).alias("score"))
+    one = rows.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    ranked = chunks_to_documents(one, rows.select("chunk_id", "doc_id").distinct(), policy)
+    return "PASS", ranking_measures(ranked, relevant, k)

@@ -117,3 +117,37 @@ def subset(queries: DataFrame, relevant: DataFrame, docs: DataFrame, n_queries:
     room = max(0, n_docs - need.count())
     others = docs.select("doc_id").distinct().join(need, "doc_id", "left_anti").orderBy(F.md5("doc_id")).limit(room).withColumn("positive", F.lit(False))
     return q, need.unionByName(others)
+
+
+def folds_from_json(spark, path: str) -> DataFrame:
+    """``fold, side, query_id`` of a stored list of folds, under either name of its id lists."""
+    text = spark.read.text(path, wholetext=True)
+    one = "struct<fold:int,train:array<string>,val:array<string>,train_query_ids:array<string>,val_query_ids:array<string>>"
+    rows = text.select(F.posexplode(F.from_json("value", f"array<{one}>")).alias("i", "f"))
+    fold = F.coalesce("f.fold", "i")
+    sides = {"train": F.coalesce("f.train_query_ids", "f.train"), "val": F.coalesce("f.val_query_ids", "f.val")}
+    out = [rows.select(fold.alias("fold"), F.lit(s).alias("side"), F.explode(c).alias("query_id")) for s, c in sides.items()]
+    return out[0].union(out[1]).distinct()
+
+
+def disjoint_from_json(spark, path: str, relevant: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``query_id, side`` and ``doc_id, side`` of a stored division; documents it lacks follow from the judgements."""
+    text = spark.read.text(path, wholetext=True)
+    lists = [f"{s}{x}:array<string>" for s in ("train", "val") for x in ("", "_query_ids", "_doc_ids")]
+    j = text.select(F.from_json("value", f"struct<{','.join(lists)}>").alias("j")).select("j.*")
+    queries = docs = None
+    for s in ("train", "val"):
+        q = j.select(F.explode(F.coalesce(f"{s}_query_ids", s)).alias("query_id"), F.lit(s).alias("side"))
+        stored = j.select(F.explode(f"{s}_doc_ids").alias("doc_id"), F.lit(s).alias("side"))
+        follow = relevant.join(q, "query_id").join(j.filter(F.col(f"{s}_doc_ids").isNull()).select(F.lit(s).alias("side")), "side").select("doc_id", "side")
+        queries, docs = (q, stored.union(follow)) if queries is None else (queries.union(q), docs.union(stored).union(follow))
+    return queries.distinct(), docs.distinct()
+
+
+def write_splits(queries: DataFrame, relevant: DataFrame, path: str, seed: int = 42, k: int = 5, val_ratio: float = 0.2) -> dict[str, int]:
+    """Create both divisions, store them as tables, and return the violations found, all 0."""
+    folds, sides = cut(random_folds(queries, seed, k), "folds"), cut(document_disjoint(relevant, val_ratio, seed), "sides")
+    folds.write.mode("overwrite").parquet(f"{path}/random_folds")
+    sides.write.mode("overwrite").parquet(f"{path}/document_disjoint")
+    found = fold_violations(folds, queries, relevant).union(disjoint_violations(sides, relevant))
+    return {r["check_name"]: r["n"] for r in found.collect()}

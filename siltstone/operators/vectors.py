@@ -115,3 +115,23 @@ def hashed_vectors(texts: DataFrame, sizes: tuple[int, int] = (3, 5), buckets: i
     counts = each.groupBy("id", F.conv(F.substring(F.md5("g"), 1, 2), 16, 10).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
     return counts.join(total, "id").select("id", "bucket", (F.col("n") / F.col("length")).alias("w"))
+
+
+def encoded(texts: DataFrame, encode, text: str = "text") -> DataFrame:
+    """``texts`` with ``v``, unit vectors of an encoder over batches of texts, shortest first within a batch."""
+    from pyspark.sql import types as T
+
+    at = texts.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = [x or "" for x in b.column(at).to_pylist()]
+            order = sorted(range(len(values)), key=lambda i: len(values[i]))
+            v = np.asarray(encode([values[i] for i in order]), dtype=np.float64)
+            length = np.linalg.norm(v, axis=1, keepdims=True)
+            unit = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+            back = np.empty_like(unit)
+            back[order] = unit
+            yield b.append_column("v", pa.array(back.tolist(), pa.list_(pa.float64())))
+
+    return texts.mapInArrow(work, T.StructType([*texts.schema.fields, T.StructField("v", T.ArrayType(T.DoubleType()))]))

@@ -13,6 +13,7 @@ from siltstone.plans import sqlparts as P
 from siltstone.plans.retrieval import _FUSED, ranks_sql
 from siltstone.sources import canonical as C
 from siltstone.sources.tables import table
+from siltstone.storage import new_path
 
 
 def _answers(s, d):
@@ -196,6 +197,13 @@ def s_p19_subset(s, d):
     return docs
 
 
+def s_p20_splits(s, d):
+    """Both divisions made, stored and checked."""
+    q = C.questions(s, d).join(C.relevant(s, d).select("query_id"), "query_id", "left_semi").select("query_id")
+    rel = C.relevant(s, d).join(q, "query_id", "left_semi")
+    return s.createDataFrame(sorted(S.write_splits(q, rel, new_path(s, "splits")).items()), "check_name string, n long")
+
+
 def j15_closure(s, d):
     x = C.docs(s, d).filter("legal_number is not null and trim(legal_number) != ''").select(F.lower(F.trim("legal_number")).alias("group_id"), "doc_id")
     return N.closure(x)
@@ -206,7 +214,7 @@ QUERIES = {
     "v08_over_folds": v08_over_folds, "v10_violations": v10_violations, "v11_renamed": v11_renamed, "v12_answer_errors": v12_answer_errors, "v15_coverage": v15_coverage, "v19_cardinalities": v19_cardinalities,
     "s_p01_buckets": s_p01_buckets, "s_p01_shuffled": s_p01_shuffled, "s_p02_components": s_p02_components, "s_p02_disjoint": s_p02_disjoint, "s_p03_fold_checks": s_p03_fold_checks, "s_p04_disjoint_checks": s_p04_disjoint_checks,
     "s_p06_overlap": s_p06_overlap, "s_p08_flat": s_p08_flat, "s_p09_by_source": s_p09_by_source, "s_p10_by_band": s_p10_by_band, "s_p11_bands": s_p11_bands, "s_p12_pairs": s_p12_pairs, "s_p12_triples": s_p12_triples,
-    "s_p14_coverage": s_p14_coverage, "s_p15_order": s_p15_order, "s_p16_groups": s_p16_groups, "s_p19_subset": s_p19_subset, "j15_closure": j15_closure,
+    "s_p14_coverage": s_p14_coverage, "s_p15_order": s_p15_order, "s_p16_groups": s_p16_groups, "s_p19_subset": s_p19_subset, "s_p20_splits": s_p20_splits, "j15_closure": j15_closure,
 }
 
 

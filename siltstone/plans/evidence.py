@@ -192,6 +192,34 @@ def l07_cross_fitted(s, d):
     return got.select("query_id", "doc_id", "fold", F.round("final_score", 6).alias("final_score"), "final_rank")
 
 
+def l03_boosted(s, d):
+    """Pointwise boosted trees, fitted on all folds but the first and applied to it."""
+    f = cut(_features(s, d), "features")
+    rank = G.boosted_ranker(f.filter("fold != 0"), LEARNED, rounds=5, depth=3)
+    return rank(f.filter("fold = 0")).filter("final_rank <= 5").select("query_id", "doc_id", F.round("final_score", 6).alias("final_score"), "final_rank")
+
+
+def l05_matrix(s, d):
+    return G.union_matrix(_fused(s, d), C.relevant(s, d)).select("query_id", "doc_id", "source_count", "bm25_rank", "dense_rank", "exact_rank", "label")
+
+
+def l11_by_fixed(s, d):
+    """Feature rows ranked by fixed fusion, answered and measured."""
+    from siltstone.operators import metrics
+
+    ranked = G.rank_by_fixed(_features(s, d)).select("query_id", "doc_id", F.col("final_rank").alias("rank"))
+    a = K.answers(ranked, 5)
+    m = metrics.means(metrics.per_query(a, C.relevant(s, d).join(a.select("query_id"), "query_id", "left_semi")))
+    return m.select(*[F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr")], "n_queries")
+
+
+def k08_table(s, d):
+    t = _fused(s, d).select(F.col("query_id").alias("qid"), F.col("doc_id").alias("document_id")).join(_questions(s, d).withColumnRenamed("query_id", "qid"), "qid")
+    t = C.search_set(t, "qid").join(C.docs(s, d).select(F.col("doc_id").alias("document_id"), F.col("document_text").alias("text")), "document_id")
+    state, m = K.evaluated_table(t, C.search_set(C.relevant(s, d)))
+    return m.select(F.lit(state).alias("state"), *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")], "n_queries")
+
+
 def p18_losses(s, d):
     """Training losses on stored dense scores, as evaluation: relevant against the mean of the others of a query."""
     f = _features(s, d)
@@ -205,7 +233,7 @@ def p18_losses(s, d):
 QUERIES = {
     "e01_chunk_info": e01_chunk_info, "e02_query_info": e02_query_info, "e03_chunk_scores": e03_chunk_scores, "e04_selected": e04_selected, "e05_packs": e05_packs, "e05_token_packs": e05_token_packs,
     "e06_records": e06_records, "e07_lines": e07_lines, "e08_positives": e08_positives, "k01_pair_scores": k01_pair_scores, "k02_shared_words": k02_shared_words, "k03_by_document": k03_by_document,
-    "k04_reranked": k04_reranked, "k05_texts": k05_texts, "k06_ensemble": k06_ensemble, "l01_final": l01_final, "l02_ridge": l02_ridge, "l04_features": l04_features, "l06_prior": l06_prior, "l07_cross_fitted": l07_cross_fitted,
+    "k04_reranked": k04_reranked, "k05_texts": k05_texts, "k06_ensemble": k06_ensemble, "l01_final": l01_final, "l02_ridge": l02_ridge, "l03_boosted": l03_boosted, "l05_matrix": l05_matrix, "l11_by_fixed": l11_by_fixed, "k08_table": k08_table, "l04_features": l04_features, "l06_prior": l06_prior, "l07_cross_fitted": l07_cross_fitted,
     "l08_answers": l08_answers, "l10_static_fusion": l10_static_fusion, "q18_losses": p18_losses,
 }
 
@@ -280,6 +308,7 @@ SQL = {
       fill AS (SELECT list(doc_id ORDER BY doc_id) AS f FROM (SELECT doc_id FROM docs ORDER BY doc_id LIMIT 10)),
       l AS (SELECT query_id, list(doc_id ORDER BY place) AS a FROM v WHERE place <= 5 GROUP BY query_id), q AS (SELECT DISTINCT query_id FROM top)
       SELECT query_id, array_to_string({P.distinct("list_concat(coalesce(a, []), f)")}[1:5], ',') AS answer FROM q LEFT JOIN l USING (query_id), fill""",
+    "l05_matrix": f"{_CAND} SELECT t.query_id AS query_id, t.doc_id AS doc_id, source_count, coalesce(bm25_rank, 999) AS bm25_rank, coalesce(dense_rank, 999) AS dense_rank, coalesce(exact_rank, 999) AS exact_rank, CASE WHEN r.doc_id IS NULL THEN 0 ELSE 1 END AS label FROM top t LEFT JOIN rels r ON r.query_id = t.query_id AND r.doc_id = t.doc_id",
     "l06_prior": f"{P.with_tables('rels')} SELECT doc_id, round(count(*) / (SELECT count(DISTINCT query_id) FROM rels), 8) AS train_doc_freq FROM rels GROUP BY doc_id",
     "l04_features": f"{_FEAT} SELECT query_id, doc_id, fold, label, " + ", ".join(f"round({c}, 7) AS {c}" for c in ["raw_bm25_rank", "pyvi_bm25_rank", "dense_rank", "memory_rank", "exact_score", "source_count", "rrf_score", "reranker_score", "query_length", "train_doc_freq", "bm25_inv_rank", "dense_inv_rank"]) + " FROM feat",
     "q18_losses": f"""{_FEAT}, pos AS (SELECT query_id, doc_id, rrf_score * 10 AS pos FROM feat WHERE label = 1), neg AS (SELECT query_id, avg(rrf_score * 10) AS neg FROM feat WHERE label = 0 GROUP BY ALL)

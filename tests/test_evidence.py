@@ -108,3 +108,11 @@ def test_answers(spark):
         with pytest.raises(ValueError):
             K.answers(r, *bad)
     assert X.present is not None
+
+
+def test_candidate_table(spark):
+    t = spark.createDataFrame([("q", "đất đai", "a", "đất đai rộng"), ("q", "đất đai", "b", "khác")], "qid string, query_text string, document_id string, text string")
+    rel = spark.createDataFrame([("q", "a")], "query_id string, doc_id string")
+    state, m = K.evaluated_table(t, rel)
+    assert state == "PASS" and m.first()["hit1"] == 1.0
+    assert K.evaluated_table(t.drop("text"), rel) == ("BLOCKED", ["passage"])

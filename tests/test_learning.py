@@ -131,3 +131,20 @@ def test_vector_search(spark, block):
         s = x @ x[int(k)]
         assert ids == [i for _, i in sorted((-round(float(v), 9), str(i)) for i, v in enumerate(s))[:4]]
     assert V.nearest(q.limit(0), base, 4).count() == 0
+
+
+def test_boosted_and_matrix(table, spark):
+    df, rows = table
+    easy = df.withColumn("label", (F.col("a") > 0).cast("int"))
+    got = G.boosted_ranker(easy, ["a", "b"], rounds=5, depth=3)(easy)
+    top = got.filter("final_rank <= 3").agg(F.avg("label")).first()[0]
+    assert top > 0.95
+    c = spark.createDataFrame([("q", "d", 2, None, 0.5)], "query_id string, doc_id string, source_count int, bm25_rank int, bm25_score double")
+    assert tuple(G.union_matrix(c, spark.createDataFrame([("q", "d")], "query_id string, doc_id string")).first()) == ("q", "d", 2, 999, 0.5, 1)
+    assert G.parameter_budget({"a": 134_998_272, "b": 567_755_777}) == (702_754_049, True) and G.projected_seconds(10, 5, 10, 2) == 18
+
+
+def test_encoder_hook(spark):
+    t = spark.createDataFrame([("1", "abc"), ("2", None), ("3", "a")], "id string, text string")
+    got = {r["id"]: r["v"] for r in V.encoded(t, lambda x: [[3.0 * len(s), 4.0 * len(s)] for s in x]).collect()}
+    assert got["1"] == pytest.approx([0.6, 0.8]) and got["2"] == [0.0, 0.0]

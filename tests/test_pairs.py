@@ -106,3 +106,17 @@ def test_subset(spark):
     a, b = S.subset(q, rel, docs, 10, 25)
     assert a.count() == 10 and b.count() == 25 and b.filter("positive").count() == 10
     assert {r[0] for r in S.subset(q, rel, docs, 10, 25)[1].collect()} == {r[0] for r in b.collect()}
+
+
+def test_stored_splits(spark, tmp_path):
+    import json
+
+    (tmp_path / "f.json").write_text(json.dumps([{"fold": 3, "train_query_ids": ["a", "b"], "val_query_ids": ["c"]}, {"train": ["c"], "val": ["a"]}]))
+    got = {tuple(r) for r in S.folds_from_json(spark, str(tmp_path / "f.json")).collect()}
+    assert got == {(3, "train", "a"), (3, "train", "b"), (3, "val", "c"), (1, "train", "c"), (1, "val", "a")}
+    (tmp_path / "d.json").write_text(json.dumps({"train": ["a"], "val_query_ids": ["b"], "val_doc_ids": ["9"]}))
+    rel = spark.createDataFrame([("a", "1"), ("b", "2")], "query_id string, doc_id string")
+    q, d = S.disjoint_from_json(spark, str(tmp_path / "d.json"), rel)
+    assert {tuple(r) for r in q.collect()} == {("a", "train"), ("b", "val")} and {tuple(r) for r in d.collect()} == {("1", "train"), ("9", "val")}
+    many = spark.createDataFrame([(f"q{i}", f"d{i // 2}") for i in range(40)], "query_id string, doc_id string")
+    assert set(S.write_splits(many.select("query_id"), many, f"file://{tmp_path}/s").values()) == {0}
