@@ -30,6 +30,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from siltstone.operators.skew import salted_join
 from siltstone.storage import cut
@@ -148,8 +149,6 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
             ids = [heap_merges(w.encode(), byte_ids, pairs) for w in b.column(b.schema.get_field_index("word")).to_pylist()]
             yield b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
 
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
-
     schema = StructType(list(words.schema.fields)).add("ids", ArrayType(IntegerType()))
     return short.unionByName(words.filter(F.octet_length("word") > LONG).mapInArrow(work, schema))
 
@@ -164,7 +163,8 @@ def _frequent(vocab: DataFrame) -> Column | None:
 
 
 def encode(df: DataFrame, text: str, path: str | None = None) -> DataFrame:
-    """``df`` with a column ``ids``, the token ids of the whole ``text``."""
+    """``df`` with a column ``ids``, the token ids of the whole ``text``; an ``ids`` that it has already is replaced."""
+    keep = [c for c in df.columns if c != "ids"]
     path = path or os.path.join(FOLDER, "byte_bpe_50k.tiktoken")
     words = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
     counted = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -177,9 +177,9 @@ def encode(df: DataFrame, text: str, path: str | None = None) -> DataFrame:
     key = F.md5(text)
     rare = df.select(key.alias("_key"), F.explode(F.filter(words, lambda w: usual(w).isNull())).alias("word")).distinct()
     rare = salted_join(rare, vocab.select("word", "ids"), ["word"], ["_key"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("_rare"))
-    rows = salted_join(df.withColumn("_key", key), cut(rare, "rare"), ["_key"], list(df.columns), "left")
+    rows = salted_join(df.withColumn("_key", key), cut(rare, "rare"), ["_key"], keep, "left")
     ids = F.flatten(F.transform(words, lambda w: F.coalesce(usual(w), F.col("_rare")[w])))
-    return rows.select(*df.columns, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+    return rows.select(*keep, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
 
 
 def decode(ids: Column, path: str | None = None) -> Column:

@@ -24,7 +24,7 @@ def texts():
 
 def test_ids_equal_the_library(spark, tokenizer):
     data = [(i if i != 5 else None, t, "clash") for i, t in enumerate(texts())]
-    df = spark.createDataFrame(data, "doc_id long, text string, word string")
+    df = spark.createDataFrame(data, "doc_id long, text string, word string").withColumn("ids", F.lit("clash"))
     got = E.encode(df, "text").collect()
     assert len(got) == len(data)
     want = sorted((str(i), tokenizer(t)) for i, t, _ in data)
