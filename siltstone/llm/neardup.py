@@ -44,7 +44,7 @@ from siltstone.llm.components import solve
 from siltstone.operators.skew import salted_join
 from siltstone.storage import cut
 
-MISSED, REGISTERS = 0.0015, 256
+MISSED, REGISTERS, BROADCAST_IDS = 0.0015, 256, 200_000
 _word = re.compile(r"[^\W_]+")
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,7 +70,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def bag(text: str, words: int, min_words: int, known: _WordHashes) -> tuple[np.ndarray, np.ndarray] | None:
-    """Sorted distinct 48-bit shingle hashes and their counts; None if the text takes no part."""
+    """Sorted distinct 40-bit shingle hashes and their counts; None if the text takes no part.
+
+    Two bags of n elements share n**2 / 2**40 elements by chance, under one in a
+    million for a thousand words.
+    """
     found = _word.findall(text.lower())
     n = len(found) - words + 1
     if n < 1 or len(found) < min_words:
@@ -81,17 +85,17 @@ def bag(text: str, words: int, min_words: int, known: _WordHashes) -> tuple[np.n
         s *= _STEP
         s ^= s >> np.uint64(32)
         s += h[k : k + n]
-    return np.unique(mix(s) >> np.uint64(16), return_counts=True)
+    return np.unique(mix(s) >> np.uint64(24), return_counts=True)
 
 
 def packed(elements: np.ndarray) -> bytes:
-    """Elements as six bytes each."""
-    return np.ascontiguousarray(elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """Elements as five bytes each."""
+    return np.ascontiguousarray(elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel()
 
 
@@ -272,7 +276,10 @@ def links(texts: DataFrame, words: int = 5, threshold: float = 0.8, min_words: i
     chosen = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     ids = first.join(chosen, "c", "left_semi").groupBy("class_key").agg(F.min("id").alias("id")).select("id").distinct()
     # A repeated id may carry several texts, so bags are named by their own class key.
-    bags = bag_classes(texts.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), words, min_words, weighted)
+    ids = cut(ids, "ids")
+    # Up to a bound the ids go to every task and the texts stay where they are; beyond it both are shuffled.
+    few = F.broadcast if ids.count() <= BROADCAST_IDS else lambda df: df
+    bags = bag_classes(texts.join(few(ids), "id", "left_semi").dropDuplicates(["id", "text"]), words, min_words, weighted)
     bags = cut(bags.join(chosen, "c", "left_semi"), "bags")
     return cut(verified(pairs, bags, threshold, weighted).distinct(), "links"), members
 
