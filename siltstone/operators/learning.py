@@ -12,6 +12,7 @@ from siltstone.functions.text import safe_number
 from siltstone.operators.ranking import best, final_rrf, steady
 
 ABSENT_RANK, UNSCORED = 999.0, -999.0
+#: Names of the features, the core ones and the auxiliary ones.
 CORE = [
     "raw_bm25_rank", "raw_bm25_score", "pyvi_bm25_rank", "pyvi_bm25_score", "dense_rank", "dense_score", "dense_second_score", "dense_margin", "memory_rank", "memory_similarity", "memory_vote_count",
     "exact_score", "exact_legal_number", "exact_article", "exact_clause", "exact_point", "exact_year", "exact_doc_type", "exact_title_overlap", "source_count", "rrf_score", "reranker_score",

@@ -147,6 +147,7 @@ def same_order(a: DataFrame, b: DataFrame) -> DataFrame:
 
 # Validation ----------------------------------------------------------------
 
+#: Columns of the canonical tables.
 DOCUMENTS = ("doc_id", "name_raw", "title", "link", "passage_raw", "passage_norm", "legal_number", "year", "doc_type", "is_empty")
 CHUNKS = ("chunk_id", "doc_id", "granularity", "chapter", "section", "article", "clause", "point", "text_raw", "text_norm", "parent_chunk_id", "token_count", "is_empty")
 #: Other names under which a column may come.
