@@ -118,9 +118,9 @@ def id_number(x: str) -> str:
 
 #: Canonical tables: one row an id, the last delivery; ties by the whole row.
 LAST = {
-    "docs": "SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC, title, document_text, link, legal_number) AS rn_ FROM legal_docs) WHERE rn_ = 1",
-    "cks": "SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC, document_id, text_raw, text_norm) AS rn_ FROM chunks) WHERE rn_ = 1",
-    "qs": "SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY loaded_at DESC, question_raw) AS rn_ FROM queries_train) WHERE rn_ = 1",
+    "docs": "SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC, title, name_raw, link, legal_number, year, doc_type) AS rn_ FROM legal_docs) WHERE rn_ = 1",
+    "cks": "SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC, document_id, article, clause, point, token_count) AS rn_ FROM chunks) WHERE rn_ = 1",
+    "qs": "SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY loaded_at DESC, gold_count, question_raw) AS rn_ FROM queries_train) WHERE rn_ = 1",
 }
 
 

@@ -1,7 +1,8 @@
 """Canonical views of the raw tables: one row an id, one name a column.
 
-The last delivery of an id counts; ties are broken by the row's own content.
-References are trimmed and what names nothing is dropped.
+The last delivery of an id counts; ties are broken by the row's short columns,
+never by its texts, so that a query that needs no text neither reads nor
+shuffles any.  References are trimmed and what names nothing is dropped.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ def _last(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return _last(table(spark, d, "legal_docs"), "doc_id", ["title", "document_text", "link", "legal_number"])
+    return _last(table(spark, d, "legal_docs"), "doc_id", ["title", "name_raw", "link", "legal_number", "year", "doc_type"])
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return _last(table(spark, d, "chunks"), "chunk_id", ["document_id", "text_raw", "text_norm"]).withColumn("doc_id", reference_id(F.col("document_id")))
+    return _last(table(spark, d, "chunks"), "chunk_id", ["document_id", "article", "clause", "point", "token_count"]).withColumn("doc_id", reference_id(F.col("document_id")))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return _last(table(spark, d, "queries_train"), "query_id", ["question_raw"])
+    return _last(table(spark, d, "queries_train"), "query_id", ["gold_count", "question_raw"])
 
 
 def relevant(spark: SparkSession, d: str) -> DataFrame:
