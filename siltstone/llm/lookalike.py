@@ -136,7 +136,6 @@ def look_alikes(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     spellings = rows.select("field", "form", "value").distinct()
     other = spellings.select("field", "form", F.col("value").alias("value_b"))
     pairs = spellings.join(other, ["field", "form"]).filter("value != value_b")
-    a = salted_join(rows, pairs.groupBy("field", "form", "value").agg(F.collect_set("value_b").alias("others")), ["field", "form", "value"], ["k"])
-    a = a.select("field", "form", F.col("k").alias("a"), F.explode("others").alias("value"))
+    a = salted_join(rows, pairs, ["field", "form", "value"], ["k"]).select("field", "form", F.col("k").alias("a"), F.col("value_b").alias("value"))
     out = a.join(rows, ["field", "form", "value"]).filter("a < k")
     return out.select("field", F.col("a").alias(f"{key}_a"), F.col("k").alias(f"{key}_b")).distinct()
