@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.ranking import best
 from siltstone.operators.skew import salted_join
 
 CUTOFFS = (20, 50, 100, 150, 200)
@@ -24,9 +25,10 @@ def cutoffs(values=None) -> list[int]:
     return out
 
 
-def gold_sets(relevant: DataFrame) -> DataFrame:
-    """``query_id, gold`` as sorted distinct ids."""
-    return relevant.select("query_id", "doc_id").dropna().groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("gold"))
+def gold_sizes(relevant: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct relevant ``query_id, doc_id``, and their number a query as ``n``; no list of a query's documents is built."""
+    gold = relevant.select("query_id", "doc_id").dropna().distinct()
+    return gold, gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def per_query(answers: DataFrame, relevant: DataFrame, at: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
@@ -36,25 +38,25 @@ def per_query(answers: DataFrame, relevant: DataFrame, at: tuple[int, ...] = (1,
     more than five documents count 0.  Precision divides by the raw length,
     repeats included.
     """
-    g = gold_sets(relevant).join(answers.select("query_id", "answer"), "query_id", "left")
-    a, n = F.coalesce("answer", F.array().cast("array<string>")), F.size("gold")
-    g = g.select("query_id", "gold", a.alias("a")).withColumn("ok", F.size("a").between(1, 5))
-    hits = lambda k: F.size(F.array_intersect("gold", F.slice("a", F.lit(1), F.lit(k))))
-    cols: dict[str, Column] = {"recall": hits(5) / n, "precision": hits(5) / F.size("a")}
+    gold, size = gold_sizes(relevant)
+    ok = answers.filter(F.size("answer").between(1, 5)).select("query_id", "answer", F.size("answer").alias("len"))
+    placed = ok.select("query_id", "len", F.posexplode("answer").alias("i", "doc_id"))
+    hits = placed.join(gold, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((F.col("i") + 1).alias("i"), "doc_id"))).alias("hits"))  # five at most
+    g = size.join(ok.select("query_id", "len"), "query_id", "left").join(hits, "query_id", "left")
+    none = F.array().cast("array<struct<i:int,doc_id:string>>")
+    g = g.withColumn("hits", F.coalesce("hits", none))
+    n = F.col("n")
+    upto = lambda k: F.size(F.array_distinct(F.transform(F.filter("hits", lambda h: h["i"] <= k), lambda h: h["doc_id"])))
+    cols: dict[str, Column] = {"recall": upto(5) / n, "precision": upto(5) / F.col("len")}
     for k in at:
-        cols[f"recall_at_{k}"] = hits(k) / n
-        cols[f"precision_at_{k}"] = hits(k) / F.least(F.size("a"), F.lit(k))
-    hit = F.transform("a", lambda d: F.array_contains("gold", d))
-    first = F.array_position(hit, True)
-    cols["mrr"] = F.when(first > 0, 1.0 / first).otherwise(0.0)
-    # Running number of hits at each hit, over its place.
-    step = lambda s, h: F.struct((s["i"] + 1).alias("i"), (s["h"] + h.cast("int")).alias("h"), (s["ap"] + F.when(h, (s["h"] + 1) / (s["i"] + 1)).otherwise(0.0)).alias("ap"))
-    cols["map"] = F.aggregate(hit, F.struct(F.lit(0).alias("i"), F.lit(0).alias("h"), F.lit(0.0).alias("ap")), step, lambda s: s["ap"]) / n
-    gain = [1 / math.log2(i + 1) for i in range(1, 6)]
-    ideal = F.array(*[F.lit(sum(gain[:i])) for i in range(1, 6)])
-    dcg = F.aggregate(F.zip_with(hit, F.array(*map(F.lit, gain)), lambda h, w: F.when(h, w).otherwise(0.0)), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    cols["ndcg_at_5"] = dcg / F.get(ideal, F.least(n, F.lit(5)) - 1)
-    return g.select("query_id", *[F.when(F.col("ok"), c).otherwise(0.0).alias(k) for k, c in cols.items()])
+        cols[f"recall_at_{k}"] = upto(k) / n
+        cols[f"precision_at_{k}"] = upto(k) / F.least("len", F.lit(k))
+    cols["mrr"] = F.coalesce(1.0 / F.get("hits", F.lit(0))["i"], F.lit(0.0))
+    add = lambda f: F.aggregate(F.transform("hits", f), F.lit(0.0), lambda s, x: s + x)
+    cols["map"] = add(lambda h, j: (j + 1) / h["i"]) / n  # the running number of hits over the place of each
+    ideal = F.array(*[F.lit(sum(1 / math.log2(j + 1) for j in range(1, i + 1))) for i in range(1, 6)])
+    cols["ndcg_at_5"] = add(lambda h: 1 / F.log2(h["i"] + 1.0)) / F.get(ideal, (F.least(n, F.lit(5)) - 1).cast("int"))
+    return g.select("query_id", *[F.when(F.col("len").isNotNull(), c).otherwise(0.0).alias(k) for k, c in cols.items()])
 
 
 def means(measures: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -84,14 +86,13 @@ def ranking_measures(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> Data
     Repeats are dropped first.  The mean is over queries with relevant documents.
     """
     one = ranked.groupBy("query_id", "doc_id").agg(F.min("rank").alias("r"))
-    order = one.groupBy("query_id").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("r", "doc_id"))), 1, k), lambda x: x["doc_id"]).alias("a"))
-    g = gold_sets(relevant).join(order, "query_id", "left").withColumn("a", F.coalesce("a", F.array().cast("array<string>")))
-    places = F.filter(F.transform("a", lambda d, i: F.when(F.array_contains("gold", d), i + 1)), lambda x: x.isNotNull())
-    g = g.select("gold", places.alias("p"))
-    dcg = F.aggregate("p", F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.size("gold"), F.lit(k))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
-    first = F.get("p", F.lit(0))
-    return g.agg(F.avg(F.size("p") / F.size("gold")).alias("recall"), F.avg(F.coalesce(1 / first, F.lit(0.0))).alias("mrr"), F.avg(F.coalesce((first == 1).cast("double"), F.lit(0.0))).alias("hit1"), F.avg(dcg / ideal).alias("ndcg"), F.count(F.lit(1)).alias("n_queries"))
+    gold, size = gold_sizes(relevant)
+    top = best(one, ["query_id"], [F.asc("r"), F.asc("doc_id")], k, "i").join(gold, ["query_id", "doc_id"], "left_semi")
+    hit = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("i").alias("first"), F.sum(1 / F.log2(F.col("i") + 1.0)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    g = size.join(hit, "query_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return g.agg(F.avg(zero(F.col("hits") / F.col("n"))).alias("recall"), F.avg(zero(1 / F.col("first"))).alias("mrr"), F.avg(zero((F.col("first") == 1).cast("double"))).alias("hit1"), F.avg(zero(F.col("dcg") / ideal)).alias("ndcg"), F.count(F.lit(1)).alias("n_queries"))
 
 
 def candidate_recall(candidates: DataFrame, relevant: DataFrame, at=None) -> DataFrame:

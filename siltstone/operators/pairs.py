@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.operators.ranking import best
+from siltstone.operators.skew import salted_join
 
 #: Sources in order of priority with their quotas, and quotas by difficulty.
 QUOTAS = {"exact": 2, "hybrid": 3, "near_miss": 3, "dense": 1, "memory": 1, "medium_neg": 2, "bm25": 2, "bm25_pyvi": 1}
@@ -17,22 +18,29 @@ def difficulty(rank: Column) -> Column:
     return F.when(rank <= 5, "very_hard").when(rank <= 20, "hard").otherwise("medium")
 
 
-def closure(groups: DataFrame) -> DataFrame:
-    """``doc_id, other_id``: every member of a duplicate group with every member, itself included.
+def classes(groups: DataFrame) -> DataFrame:
+    """``doc_id, class_id, n_members`` of ``group_id, doc_id``: the closure of duplicate groups as membership.
 
-    ``groups(group_id, doc_id)``.  One row a document and group size, so only
-    for groups whose pairs are wanted; membership itself is linear.
+    Two documents are duplicates if they have one class, named by its smallest
+    document; no pairs are written.
     """
     g = groups.select("group_id", "doc_id").dropna().distinct()
-    return g.join(g.withColumnRenamed("doc_id", "other_id"), "group_id").select("doc_id", "other_id").distinct()
+    of = g.groupBy("group_id").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
+    return salted_join(g, of, ["group_id"], ["doc_id"]).select("doc_id", "class_id", "n_members")
 
 
-def blacklist(relevant: DataFrame, groups: DataFrame) -> DataFrame:
-    """``query_id, doc_id`` that are no negatives: relevant documents and their duplicates."""
+def blacklist(candidates: DataFrame, relevant: DataFrame, groups: DataFrame) -> DataFrame:
+    """``query_id, doc_id`` among the candidates that are no negatives: relevant documents and their duplicates.
+
+    Candidates are looked up by their group, so a group of many copies is never
+    spread over the queries it is relevant for.
+    """
     gold = relevant.select("query_id", "doc_id").dropna().distinct()
     member = groups.select("group_id", "doc_id").dropna().distinct()
-    wider = gold.join(member, "doc_id").select("query_id", "group_id").distinct().join(member, "group_id").select("query_id", "doc_id")
-    return gold.union(wider).distinct()
+    c = candidates.select("query_id", "doc_id").dropna().distinct()
+    banned = salted_join(gold, member, ["doc_id"], ["query_id"]).select("query_id", "group_id").distinct()
+    copies = salted_join(c, member, ["doc_id"], ["query_id"]).join(banned, ["query_id", "group_id"], "left_semi").select("query_id", "doc_id")
+    return c.join(gold, ["query_id", "doc_id"], "left_semi").union(copies).distinct()
 
 
 def bands_of(fused: DataFrame, branches: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def r14_votes(s, d):
 
 def r15_memory_rows(s, d):
     _, train, rel = _memory(s, d)
-    return train.join(rel, "query_id").groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("doc_id")), ",").alias("doc_ids"))
+    return train.join(rel, "query_id").select("query_id", "doc_id")
 
 
 QUERIES = {
@@ -182,5 +182,5 @@ SQL = {
       FROM sim s JOIN rels r ON r.query_id = s.train_id, nn GROUP BY s.query_id, doc_id)
       SELECT query_id, doc_id, round(score, 5) AS score, round(lexical_similarity, 5) AS lexical_similarity, vote_count, matched_id, round(positive_frequency, 8) AS positive_frequency, rank
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM v) WHERE rank <= {TOP_K}""",
-    "r15_memory_rows": f"{P.with_tables('qs', 'rels')} SELECT query_id, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM rels JOIN (SELECT query_id FROM qs) USING (query_id) GROUP BY query_id",
+    "r15_memory_rows": f"{P.with_tables('qs', 'rels')} SELECT query_id, doc_id FROM rels WHERE query_id IN (SELECT query_id FROM qs)",
 }

@@ -134,9 +134,9 @@ def _ranks(s, d):
     return R.branch_ranks(table(s, d, "static_candidates"), 80)
 
 
-def _banned(s, d):
+def _banned(s, d, candidates):
     x = C.docs(s, d).filter("document_text is not null and document_text != ''").select(F.sha2("document_text", 256).alias("group_id"), "doc_id")
-    return N.blacklist(C.relevant(s, d), x)
+    return N.blacklist(candidates, C.relevant(s, d), x)
 
 
 def _mined(s, d):
@@ -145,16 +145,19 @@ def _mined(s, d):
 
 
 def s_p08_flat(s, d):
-    return N.flat(V._fused(s, d, 80).select("query_id", "doc_id", "rank"), _banned(s, d), 10).select("query_id", "doc_id", "n", "band")
+    c = V._fused(s, d, 80).select("query_id", "doc_id", "rank")
+    return N.flat(c, _banned(s, d, c), 10).select("query_id", "doc_id", "n", "band")
 
 
 def s_p09_by_source(s, d):
-    got = N.by_source(_mined(s, d), _banned(s, d))
+    c = _mined(s, d)
+    got = N.by_source(c, _banned(s, d, c))
     return got.select("query_id", "n", "doc_id", "source", "rank", "band")
 
 
 def s_p10_by_band(s, d):
-    return N.by_band(_mined(s, d), _banned(s, d)).select("query_id", "n", "doc_id", "source", "rank", "band")
+    c = _mined(s, d)
+    return N.by_band(c, _banned(s, d, c)).select("query_id", "n", "doc_id", "source", "rank", "band")
 
 
 def s_p11_bands(s, d):
@@ -163,7 +166,8 @@ def s_p11_bands(s, d):
 
 def _pairs(s, d):
     rel = C.relevant(s, d).join(C.docs(s, d).select("doc_id"), "doc_id", "left_semi")
-    neg = N.by_source(_mined(s, d), _banned(s, d), most=12)
+    c = _mined(s, d)
+    neg = N.by_source(c, _banned(s, d, c), most=12)
     texts = C.docs(s, d).select("doc_id", F.concat_ws(" ", "title", "legal_number").alias("evidence_text"))
     both = rel.select("query_id", "doc_id").union(neg.select("query_id", "doc_id")).distinct().join(texts, "doc_id").withColumn("evidence_chunk_ids", F.array(F.concat("doc_id", F.lit("_macro_001"))))
     q = C.questions(s, d).select("query_id", F.col("question_raw").alias("question"))
@@ -175,7 +179,8 @@ def s_p12_pairs(s, d):
 
 
 def s_p12_triples(s, d):
-    neg = N.by_source(_mined(s, d), _banned(s, d), most=12)
+    c = _mined(s, d)
+    neg = N.by_source(c, _banned(s, d, c), most=12)
     return N.retriever_triples(C.relevant(s, d), neg).select("query_id", "pos_doc_id", "neg_doc_id", "neg_n")
 
 
@@ -204,9 +209,9 @@ def s_p20_splits(s, d):
     return s.createDataFrame(sorted(S.write_splits(q, rel, new_path(s, "splits")).items()), "check_name string, n long")
 
 
-def j15_closure(s, d):
+def j15_classes(s, d):
     x = C.docs(s, d).filter("legal_number is not null and trim(legal_number) != ''").select(F.lower(F.trim("legal_number")).alias("group_id"), "doc_id")
-    return N.closure(x)
+    return N.classes(x)
 
 
 QUERIES = {
@@ -214,7 +219,7 @@ QUERIES = {
     "v08_over_folds": v08_over_folds, "v10_violations": v10_violations, "v11_renamed": v11_renamed, "v12_answer_errors": v12_answer_errors, "v15_coverage": v15_coverage, "v19_cardinalities": v19_cardinalities,
     "s_p01_buckets": s_p01_buckets, "s_p01_shuffled": s_p01_shuffled, "s_p02_components": s_p02_components, "s_p02_disjoint": s_p02_disjoint, "s_p03_fold_checks": s_p03_fold_checks, "s_p04_disjoint_checks": s_p04_disjoint_checks,
     "s_p06_overlap": s_p06_overlap, "s_p08_flat": s_p08_flat, "s_p09_by_source": s_p09_by_source, "s_p10_by_band": s_p10_by_band, "s_p11_bands": s_p11_bands, "s_p12_pairs": s_p12_pairs, "s_p12_triples": s_p12_triples,
-    "s_p14_coverage": s_p14_coverage, "s_p15_order": s_p15_order, "s_p16_groups": s_p16_groups, "s_p19_subset": s_p19_subset, "s_p20_splits": s_p20_splits, "j15_closure": j15_closure,
+    "s_p14_coverage": s_p14_coverage, "s_p15_order": s_p15_order, "s_p16_groups": s_p16_groups, "s_p19_subset": s_p19_subset, "s_p20_splits": s_p20_splits, "j15_classes": j15_classes,
 }
 
 
@@ -279,5 +284,5 @@ SQL = {
     "s_p06_overlap": "SELECT DISTINCT a AS query_id FROM (SELECT unnest(train_qids) AS a FROM doc_disjoint_split) WHERE a IN (SELECT unnest(val_qids) FROM doc_disjoint_split)",
     "s_p08_flat": f"""{_MINED} SELECT query_id, doc_id, n, CASE WHEN rank <= 5 THEN 'very_hard' WHEN rank <= 20 THEN 'hard' ELSE 'medium' END AS band FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS n FROM top t WHERE NOT EXISTS (SELECT 1 FROM banned b WHERE b.query_id = t.query_id AND b.doc_id = t.doc_id)) WHERE n <= 10""",
     "s_p11_bands": f"{_MINED} SELECT source, count(*) AS n, count(DISTINCT query_id) AS n_queries FROM mined GROUP BY source",
-    "j15_closure": f"{P.with_tables('docs')}, g AS (SELECT lower(trim(legal_number)) AS k, doc_id FROM docs WHERE trim(legal_number) <> '') SELECT DISTINCT a.doc_id AS doc_id, b.doc_id AS other_id FROM g a JOIN g b USING (k)",
+    "j15_classes": f"{P.with_tables('docs')}, g AS (SELECT DISTINCT lower(trim(legal_number)) AS k, doc_id FROM docs WHERE trim(legal_number) <> '') SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS n_members FROM g",
 }

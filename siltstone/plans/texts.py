@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.operators.skew import salted_join
 from siltstone.plans import sqlparts as P
 from siltstone.sources import canonical as C
 from siltstone.sources.tables import table
@@ -80,8 +81,10 @@ def f18_sigmoid(s, d):
 
 
 def f19_content_hash(s, d):
-    h = C.docs(s, d).select("doc_id", X.content_hash(X.block(F.col("passage_raw"))).alias("h"), X.block(F.col("passage_raw")).alias("t"))
-    return h.filter("t != ''").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids")).filter("n > 1").select("h", "n", F.array_join("doc_ids", ",").alias("doc_ids"))
+    """Documents of equal content: each with its group's digest, size and smallest id."""
+    h = C.docs(s, d).select("doc_id", X.block(F.col("passage_raw")).alias("t")).filter("t != ''").select("doc_id", X.content_hash(F.col("t")).alias("h"))
+    g = h.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
+    return salted_join(h, g, ["h"], ["doc_id"]).select("doc_id", "h", "n", "first")
 
 
 def f20_ordered_digest(s, d):
@@ -141,8 +144,7 @@ SQL = {
     "f16_slug": f"{P.with_tables('docs')} SELECT doc_id, replace({P.slug('link')}, '-', ' ') AS value FROM docs",
     "f17_safe_number": "SELECT branch, count(*) AS n, round(sum(CASE WHEN isfinite(score) THEN score::DOUBLE ELSE -1 END), 2) AS total, CAST(sum(CASE WHEN isfinite(score) AND score <> -1 THEN 0 ELSE 1 END) AS BIGINT) AS n_default FROM static_candidates GROUP BY branch",
     "f18_sigmoid": "SELECT event_id, round(CASE WHEN value >= 50 THEN 1 WHEN value <= -50 THEN 0 ELSE 1 / (1 + exp(-value)) END, 6) AS value FROM events",
-    "f19_content_hash": f"{P.with_tables('docs')}, t AS (SELECT doc_id, {P.block('passage_raw')} AS x FROM docs) SELECT sha256(x) AS h, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM t WHERE x <> '' GROUP BY ALL HAVING count(*) > 1",
+    "f19_content_hash": f"{P.with_tables('docs')}, t AS (SELECT doc_id, {P.block('passage_raw')} AS x FROM docs), g AS (SELECT doc_id, sha256(x) AS h, count(*) OVER w AS n, min(doc_id) OVER w AS first FROM t WHERE x <> '' WINDOW w AS (PARTITION BY sha256(x))) SELECT doc_id, h, n, first FROM g WHERE n > 1",
     "f20_ordered_digest": f"{P.with_tables('cks')}, t AS (SELECT DISTINCT {P.given('document_id')} AS doc_id, chunk_id FROM cks) SELECT doc_id, sha256(string_agg(chunk_id, ',' ORDER BY chunk_id)) AS digest FROM t WHERE doc_id IS NOT NULL GROUP BY doc_id",
     "f21_distinct_ids": f"SELECT split_id, array_to_string({P.distinct('w')}, ',') AS ids FROM (SELECT split_id, list_filter(train_doc_ids, lambda e: e IS NOT NULL) AS w FROM doc_disjoint_split)",
 }
-SQL["f19_content_hash"] = SQL["f19_content_hash"].replace("GROUP BY ALL", "GROUP BY sha256(x)")

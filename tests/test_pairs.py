@@ -43,12 +43,10 @@ def test_ordered_folds(spark, kind):
 
 def test_blacklist_and_closure(spark):
     g = spark.createDataFrame([("1", "A"), ("1", "B"), ("2", "C"), ("2", "D"), ("2", "E"), (None, "A")], "group_id string, doc_id string")
-    c = {}
-    for a, b in N.closure(g).collect():
-        c.setdefault(a, set()).add(b)
-    assert c["A"] == {"A", "B"} and c["D"] == {"C", "D", "E"} and "X" not in c
+    assert {tuple(r) for r in N.classes(g).collect()} == {("A", "A", 2), ("B", "A", 2), ("C", "C", 3), ("D", "C", 3), ("E", "C", 3)}
     rel = spark.createDataFrame([("q", "A"), ("q", "Z"), ("q", None)], "query_id string, doc_id string")
-    assert {r["doc_id"] for r in N.blacklist(rel, g).collect()} == {"A", "B", "Z"}
+    cand = spark.createDataFrame([("q", d) for d in "ABXZC"] + [("r", "A"), ("q", None)], "query_id string, doc_id string")
+    assert {tuple(r) for r in N.blacklist(cand, rel, g).collect()} == {("q", "A"), ("q", "B"), ("q", "Z")}
 
 
 def test_order_and_groups(spark):
