@@ -173,7 +173,7 @@ SQL = {
     "r10_title_index": f"{P.with_tables('docs')}, {_TITLES} SELECT title, doc_id, bare FROM titles",
     "j04_titles_inside": f"""{P.with_tables('docs', 'qs')}, {_TITLES}, sub AS (SELECT DISTINCT list_last(string_split(title, ' ve ')) AS title FROM titles WHERE bare)
       SELECT query_id, title FROM (SELECT query_id, {P.unaccented('question_raw')} AS text FROM qs) JOIN sub ON length(title) >= 7 AND contains(text, title)""",
-    "j06_numbers": f"{P.with_tables('docs', 'qs')}, {_ALL}, {_NUMS}, {_ASKED} SELECT query_id, doc_id, seed FROM byn",
+    "j06_numbers": f"{P.with_tables('docs', 'qs')}, {_ALL}, {_NUMS}, {_ASKED} SELECT query_id, doc_id, seed::DOUBLE AS seed FROM byn",
     "r11_exact": f"""{_EXACT} SELECT query_id, doc_id, exact_legal_number::INT AS exact_legal_number, exact_title::INT AS exact_title, exact_article::INT AS exact_article, exact_clause::INT AS exact_clause, exact_point::INT AS exact_point, exact_year::INT AS exact_year,
       exact_doc_type::INT AS exact_doc_type, round(exact_title_overlap, 6) AS exact_title_overlap, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored""",
     "r13_gram_weights": f"{_TFIDF} SELECT query_id, count(*) AS n_grams, round(max(w), 6) AS heaviest, round(sum(w), 5) AS total FROM tv GROUP BY ALL",

@@ -287,7 +287,7 @@ _FOLD = "CAST(('0x' || left(md5(query_id), 8)) AS BIGINT) % 5"
 _FEAT = f"""{_CAND}, {_EX}, prior AS (SELECT doc_id, count(*) / (SELECT count(DISTINCT query_id) FROM rels) AS f FROM rels GROUP BY doc_id),
   t30 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, doc_id) AS rank FROM fused) WHERE rank <= 30),
   feat AS (SELECT t.query_id, t.doc_id, {_FOLD.replace('query_id', 't.query_id')} AS fold, CASE WHEN r.doc_id IS NULL THEN 0 ELSE 1 END AS label, coalesce(bm25_rank, 999)::DOUBLE AS raw_bm25_rank, coalesce(bm25_pyvi_rank, 999)::DOUBLE AS pyvi_bm25_rank, coalesce(dense_rank, 999)::DOUBLE AS dense_rank,
-    999.0 AS memory_rank, coalesce(exact_score, 0)::DOUBLE AS exact_score, source_count::DOUBLE AS source_count, rrf_score, -999.0 AS reranker_score, length(trim(question_raw))::DOUBLE AS query_length, coalesce(f, 0) AS train_doc_freq,
+    999.0::DOUBLE AS memory_rank, coalesce(exact_score, 0)::DOUBLE AS exact_score, source_count::DOUBLE AS source_count, rrf_score, -999.0::DOUBLE AS reranker_score, length(trim(question_raw))::DOUBLE AS query_length, coalesce(f, 0) AS train_doc_freq,
     CASE WHEN bm25_rank < 900 THEN 1.0 / (60 + bm25_rank) ELSE 0 END AS bm25_inv_rank, CASE WHEN dense_rank < 900 THEN 1.0 / (60 + dense_rank) ELSE 0 END AS dense_inv_rank
     FROM t30 t JOIN qs ON qs.query_id = t.query_id LEFT JOIN ex ON ex.query_id = t.query_id AND ex.doc_id = t.doc_id LEFT JOIN prior ON prior.doc_id = t.doc_id LEFT JOIN rels r ON r.query_id = t.query_id AND r.doc_id = t.doc_id)"""
 SQL = {

@@ -173,10 +173,10 @@ def _agg_sql(policy: str) -> str:
 
 
 SQL = {
-    "r01_index_terms": f"{bm25_sql()} SELECT term, df, tf, round(idf, 6) AS idf FROM idfs",
+    "r01_index_terms": f"{bm25_sql()} SELECT term, df, CAST(tf AS BIGINT) AS tf, round(idf, 6) AS idf FROM idfs",
     "r02_raw_scores": f"{bm25_sql()} SELECT query_id, count(*) AS n_chunks, round(max(raw_score), 5) AS best, round(avg(raw_score), 5) AS mean FROM raw GROUP BY ALL",
     "r03_cut_off": f"{bm25_sql()} SELECT query_id, chunk_id, round(raw_score, 5) AS raw_score, chunk_rank FROM cut",
-    "r04_boosts": f"{bm25_sql()}, {_BOOST} SELECT query_id, chunk_id, round(boost, 4) AS boost, round(score, 5) AS score FROM boosted",
+    "r04_boosts": f"{bm25_sql()}, {_BOOST} SELECT query_id, chunk_id, round(boost::DOUBLE, 4) AS boost, round(score, 5) AS score FROM boosted",
     "r05_documents": f"{bm25_sql()}, {_BOOST}, {rolled('boosted', TOP_K)} SELECT query_id, doc_id, round(score, 5) AS score, round(best_score, 5) AS best_score, round(second_score, 5) AS second_score, round(mean_score, 5) AS mean_score, best_chunk_id, rank FROM ranked",
     "r06_segmented": f"{bm25_sql(L.SEGMENTED_WEIGHTS, lambda x: P.found(f'lower({P.clean(x)})', X.WORD))}, scored AS (SELECT *, raw_score AS score FROM cut), {rolled('scored', TOP_K)} SELECT query_id, doc_id, round(score, 5) AS score, best_chunk_id, rank FROM ranked",
     "r16_weighted_rrf": f"""{ranks_sql()}, one AS (SELECT query_id, doc_id, sum(CASE branch WHEN 'bm25' THEN 1.0 WHEN 'dense' THEN 1.2 ELSE 2.5 END / (60 + rank)) AS score FROM ranks WHERE branch IN ('bm25', 'dense', 'exact') GROUP BY ALL)

@@ -31,12 +31,19 @@ def f06_pretty_title(s, d):
     return C.docs(s, d).select("doc_id", X.pretty_title(F.col("name_raw")).alias("value"))
 
 
+KINDS = ("doc_numbers", "articles", "clauses", "points", "years")
+
+
+def _listed(df, key, column):
+    return df.select(key, X.signals(F.col(column)).alias("s")).select(key, *[F.array_join(F.col(f"s.{k}"), "|").alias(k) for k in KINDS])
+
+
 def f07_legal_signals(s, d):
-    return C.questions(s, d).select("query_id", X.signals(F.col("question_raw")).alias("s")).select("query_id", "s.*")
+    return _listed(C.questions(s, d), "query_id", "question_raw")
 
 
 def f07_chunk_signals(s, d):
-    return C.chunks(s, d).select("chunk_id", X.signals(F.col("text_raw")).alias("s")).select("chunk_id", "s.*")
+    return _listed(C.chunks(s, d), "chunk_id", "text_raw")
 
 
 def f08_metadata(s, d):
@@ -107,7 +114,7 @@ QUERIES = {
 
 def _signals(table: str, key: str, column: str) -> str:
     return f"""{P.with_tables(table)}, c AS (SELECT {key}, {P.clean(column)} AS x FROM {table})
-      SELECT {key}, {P.doc_numbers('x')} AS doc_numbers, {P.articles('x')} AS articles, {P.clauses('x')} AS clauses, {P.points('x')} AS points, {P.years('x')} AS years FROM c"""
+      SELECT {key}, {', '.join(f"array_to_string({getattr(P, k)('x')}, '|') AS {k}" for k in KINDS)} FROM c"""
 
 
 def _hashed(tokens: str) -> str:
@@ -140,7 +147,7 @@ SQL = {
     "f12_token_set": f"{P.with_tables('qs')}, t AS (SELECT query_id, list_filter(list_transform({P.found(P.folded('question_raw'), '[a-zà-ỹ0-9_/-]+')}, lambda e: trim(e, '/-')), lambda e: e <> '') AS w FROM qs) SELECT query_id, array_to_string({P.distinct('w')}, ' ') AS value FROM t",
     "f13_dense_text": _sq(f"trim({P.rep(P.nfc('question_raw'), X.WS + '+', ' ')})"),
     "f14_truncated": f"{P.with_tables('docs')}, c AS (SELECT doc_id, {P.clean('document_text')} AS x FROM docs) SELECT doc_id, {_TRUNC} AS value FROM c",
-    "f15_unit_vectors": "SELECT vec_id, round(n, 5) AS length, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS unit_length, round(CASE WHEN n > 0 THEN embedding[1]::DOUBLE / n ELSE 0 END, 5) AS first FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda e: e::DOUBLE * e::DOUBLE))) AS n FROM embeddings)",
+    "f15_unit_vectors": "SELECT vec_id, round(n, 5) AS length, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS unit_length, round(CASE WHEN n > 0 THEN embedding[1]::DOUBLE / n ELSE 0 END, 5) AS first FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda e: e::DOUBLE * e::DOUBLE))) AS n FROM embeddings)",
     "f16_slug": f"{P.with_tables('docs')} SELECT doc_id, replace({P.slug('link')}, '-', ' ') AS value FROM docs",
     "f17_safe_number": "SELECT branch, count(*) AS n, round(sum(CASE WHEN isfinite(score) THEN score::DOUBLE ELSE -1 END), 2) AS total, CAST(sum(CASE WHEN isfinite(score) AND score <> -1 THEN 0 ELSE 1 END) AS BIGINT) AS n_default FROM static_candidates GROUP BY branch",
     "f18_sigmoid": "SELECT event_id, round(CASE WHEN value >= 50 THEN 1 WHEN value <= -50 THEN 0 ELSE 1 / (1 + exp(-value)) END, 6) AS value FROM events",
