@@ -39,37 +39,48 @@ def word_grams(text: Column, low: int = 3, high: int = 5) -> Column:
 
 
 def counts(questions: DataFrame) -> DataFrame:
-    """``query_id, g, tf`` of ``query_id, text``."""
-    return questions.select("query_id", F.explode(word_grams(X.folded(F.col("text")))).alias("g")).groupBy("query_id", "g").agg(F.count(F.lit(1)).alias("tf"))
+    """``part, query_id, g, tf`` of ``part, query_id, text``."""
+    return questions.select("part", "query_id", F.explode(word_grams(X.folded(F.col("text")))).alias("g")).groupBy("part", "query_id", "g").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def weighted(tf: DataFrame, df: DataFrame, n: int) -> DataFrame:
-    """L2-normalised ``query_id, g, w`` with sublinear counts; unknown n-grams are dropped."""
-    idf = F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1
-    w = tf.join(df, "g").select("query_id", "g", "df", ((1 + F.ln("tf")) * idf).alias("w"))
-    total = w.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return w.join(total, "query_id").select("query_id", "g", "df", (F.col("w") / F.col("length")).alias("w"))
+def weighted(tf: DataFrame, df: DataFrame) -> DataFrame:
+    """L2-normalised ``part, query_id, g, df, w`` with sublinear counts; n-grams without ``part, g, df, n`` are dropped."""
+    idf = F.ln((1.0 + F.col("n")) / (1 + F.col("df"))) + 1
+    w = tf.join(df, ["part", "g"]).select("part", "query_id", "g", "df", ((1 + F.ln("tf")) * idf).alias("w"))
+    total = w.groupBy("part", "query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return w.join(total, ["part", "query_id"]).select("part", "query_id", "g", "df", (F.col("w") / F.col("length")).alias("w"))
+
+
+def fitted(train: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts of the training questions, and ``part, g, df, n`` with the number of questions of the part."""
+    tf = counts(train)
+    size = train.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    df = tf.groupBy("part", "g").agg(F.count(F.lit(1)).alias("df"))
+    return tf, df.join(size, "part")
 
 
 def prefix(v: DataFrame, threshold: float) -> DataFrame:
     """The rare n-grams of each vector whose remainder, they included, has a norm of the threshold or more."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("df"), F.desc("g"))
+    w = Window.partitionBy("part", "query_id").orderBy(F.desc("df"), F.desc("g"))
     rest = F.sum(F.col("w") * F.col("w")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return v.withColumn("rest", rest).filter(F.col("rest") >= threshold * threshold - 1e-9).select("query_id", "g")
+    return v.withColumn("rest", rest).filter(F.col("rest") >= threshold * threshold - 1e-9).select("part", "query_id", "g")
+
+
+def parted(questions: DataFrame) -> DataFrame:
+    return questions if "part" in questions.columns else questions.withColumn("part", F.lit(0))
 
 
 def similar(queries: DataFrame, train: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``query_id, train_id, lexical`` of all pairs of different ids with cosine at least the threshold.
+    """``part, query_id, train_id, lexical`` of all pairs of different ids with cosine at least the threshold.
 
-    Both sides have ``query_id, text``.  The vocabulary is fitted on ``train``.
+    Both sides have ``query_id, text`` and may have ``part``; only equal parts
+    meet, and the vocabulary is fitted on the training questions of a part.
     """
-    tf = counts(train)
-    n = train.count()
-    df = tf.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    t, q = weighted(tf, df, n), weighted(counts(queries), df, n)
-    near = prefix(q, threshold).join(prefix(t, threshold).withColumnRenamed("query_id", "train_id"), "g").filter("query_id != train_id").select("query_id", "train_id").distinct()
-    both = near.join(q.select("query_id", "g", F.col("w").alias("x")), "query_id").join(t.select(F.col("query_id").alias("train_id"), "g", F.col("w").alias("y")), ["train_id", "g"])
-    return both.groupBy("query_id", "train_id").agg(F.sum(F.col("x") * F.col("y")).alias("lexical")).filter(F.col("lexical") >= threshold - 1e-9)
+    tf, df = fitted(parted(train))
+    t, q = weighted(tf, df), weighted(counts(parted(queries)), df)
+    near = prefix(q, threshold).join(prefix(t, threshold).withColumnRenamed("query_id", "train_id"), ["part", "g"]).filter("query_id != train_id").select("part", "query_id", "train_id").distinct()
+    both = near.join(q.select("part", "query_id", "g", F.col("w").alias("x")), ["part", "query_id"]).join(t.select("part", F.col("query_id").alias("train_id"), "g", F.col("w").alias("y")), ["part", "train_id", "g"])
+    return both.groupBy("part", "query_id", "train_id").agg(F.sum(F.col("x") * F.col("y")).alias("lexical")).filter(F.col("lexical") >= threshold - 1e-9)
 
 
 def votes(pairs: DataFrame, relevant: DataFrame, n_train: int, top_k: int = 5, lexical_weight: float = 1.0, dense_weight: float = 1.0) -> DataFrame:

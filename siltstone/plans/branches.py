@@ -83,9 +83,7 @@ def _memory(s, d):
 
 def r13_gram_weights(s, d):
     _, train, _ = _memory(s, d)
-    tf = M.counts(train)
-    df = tf.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    return M.weighted(tf, df, train.count()).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_grams"), F.round(F.max("w"), 6).alias("heaviest"), F.round(F.sum("w"), 5).alias("total"))
+    return M.weighted(*M.fitted(M.parted(train))).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_grams"), F.round(F.max("w"), 6).alias("heaviest"), F.round(F.sum("w"), 5).alias("total"))
 
 
 def j08_similar_questions(s, d):

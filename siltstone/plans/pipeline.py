@@ -54,10 +54,10 @@ def static_branches(questions: DataFrame, docs: DataFrame, chunks: DataFrame, c:
 
 
 def memory_branch(questions: DataFrame, train: DataFrame, relevant: DataFrame, c: Settings) -> DataFrame:
-    rel = relevant.join(train.select("query_id"), "query_id", "left_semi")
-    text = lambda df: df.select("query_id", F.col("question").alias("text"))
-    known = text(train).join(rel.select("query_id").distinct(), "query_id", "left_semi")
-    v = memory.votes(memory.similar(text(questions), known, c.memory_threshold), rel, known.count(), c.memory_depth)
+    """Votes of the training questions of a question's ``part`` (all are one part unless given)."""
+    text = lambda df: memory.parted(df).select("part", "query_id", F.col("question").alias("text"))
+    known = cut(text(train).join(relevant.select("query_id").distinct(), "query_id", "left_semi"), "known")
+    v = memory.votes(memory.similar(text(questions), known, c.memory_threshold), relevant, known.count(), c.memory_depth)
     return v.select("query_id", F.lit("memory").alias("branch"), "doc_id", "rank", "score", F.lit(None).cast("string").alias("best_chunk_id"))
 
 
@@ -86,10 +86,11 @@ def predict(questions: DataFrame, train: DataFrame, relevant: DataFrame, docs: D
 def out_of_fold(questions: DataFrame, every: DataFrame, relevant: DataFrame, docs: DataFrame, chunks: DataFrame, c: Settings = Settings()) -> DataFrame:
     """``query_id, fold, answer`` with the memory of each fold built from the others."""
     folds = bucket_folds(every.select("query_id"), c.folds)
-    tagged, ranks = every.join(folds, "query_id"), static_branches(questions, docs, chunks, c)
-    for f in range(c.folds):
-        held = questions.join(folds.filter(F.col("fold") == f), "query_id", "left_semi")
-        ranks = ranks.unionByName(memory_branch(held, tagged.filter(F.col("fold") != f).drop("fold"), relevant, c))
+    held = questions.join(folds.withColumnRenamed("fold", "part"), "query_id")
+    # A question trains every part but its own fold.
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(c.folds - 1).cast("bigint")), lambda p: p != F.col("fold")))
+    train = every.join(folds, "query_id").select("*", others.alias("part")).drop("fold")
+    ranks = static_branches(questions, docs, chunks, c).unionByName(memory_branch(held, train, relevant, c))
     return answered(ranks, questions, docs, chunks, c)[1].join(folds, "query_id").select("query_id", "fold", "answer")
 
 

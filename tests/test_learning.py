@@ -148,3 +148,18 @@ def test_encoder_hook(spark):
     t = spark.createDataFrame([("1", "abc"), ("2", None), ("3", "a")], "id string, text string")
     got = {r["id"]: r["v"] for r in V.encoded(t, lambda x: [[3.0 * len(s), 4.0 * len(s)] for s in x]).collect()}
     assert got["1"] == pytest.approx([0.6, 0.8]) and got["2"] == [0.0, 0.0]
+
+
+def test_folds_do_not_see_their_own_questions(spark):
+    """A question that joins a fold leaves the similarities of its own fold's questions unchanged."""
+    texts = [(str(i), t, i % 2) for i, t in enumerate(["thuế đất ở", "thuế đất ở đô thị", "thuế đất", "nộp thuế đất ở", "phạt nộp chậm", "thuế đất ở nông thôn"])]
+    make = lambda rows: spark.createDataFrame(rows, "query_id string, text string, fold int")
+
+    def run(rows):
+        q = make(rows)
+        train = q.select("query_id", "text", F.explode(F.filter(F.array(F.lit(0), F.lit(1)), lambda p: p != F.col("fold"))).alias("part"))
+        return {(r["query_id"], r["train_id"]): r["lexical"] for r in M.similar(q.withColumnRenamed("fold", "part"), train, 0.1).collect()}
+
+    before, after = run(texts), run([*texts, ("9", "thuế thuế đất", 0)])
+    assert before and all((int(a) + int(b)) % 2 for a, b in before)
+    assert {k: v for k, v in after.items() if int(k[0]) % 2 == 0 and k[0] != "9"} == pytest.approx({k: v for k, v in before.items() if int(k[0]) % 2 == 0})
