@@ -121,8 +121,10 @@ def split_oversized(df: DataFrame, key: list[str], text: str, carry: list[str] =
     if not 0 <= overlap < max_words:
         raise ValueError("the overlap must be smaller than the piece")
     names = [*key, *carry]
-    rows = df.select(*names, F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct() if not oversized_only else df.select(*names, F.col(text).alias("text"))
-    rows = rows.withColumn("n_words", F.regexp_count("text", F.lit(WORD)))
+    rows = df.select(*names, F.col(text).alias("text")).filter(F.col("text").isNotNull()).withColumn("n_words", F.regexp_count("text", F.lit(WORD)))
+    if not oversized_only:
+        # As an aggregate the count is made once a row, before the shuffle that long and short texts share.
+        rows = rows.groupBy(*names, "text").agg(F.first("n_words").alias("n_words"))
     schema = df.select(*names).schema
     for f, t in (("piece_no", "integer"), ("start_word", "integer"), ("n_words", "integer"), ("n_repeated", "integer"), ("text", "string")):
         schema = schema.add(f, t)
