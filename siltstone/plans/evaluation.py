@@ -13,7 +13,7 @@ from siltstone.plans import sqlparts as P
 from siltstone.plans.retrieval import _FUSED, ranks_sql
 from siltstone.sources import canonical as C
 from siltstone.sources.tables import table
-from siltstone.storage import new_path
+from siltstone.storage import cut, new_path
 
 
 def _answers(s, d):
@@ -150,13 +150,13 @@ def s_p08_flat(s, d):
 
 
 def s_p09_by_source(s, d):
-    c = _mined(s, d)
+    c = cut(_mined(s, d), "mined")
     got = N.by_source(c, _banned(s, d, c))
     return got.select("query_id", "n", "doc_id", "source", "rank", "band")
 
 
 def s_p10_by_band(s, d):
-    c = _mined(s, d)
+    c = cut(_mined(s, d), "mined")
     return N.by_band(c, _banned(s, d, c)).select("query_id", "n", "doc_id", "source", "rank", "band")
 
 
@@ -166,7 +166,7 @@ def s_p11_bands(s, d):
 
 def _pairs(s, d):
     rel = C.relevant(s, d).join(C.docs(s, d).select("doc_id"), "doc_id", "left_semi")
-    c = _mined(s, d)
+    c = cut(_mined(s, d), "mined")
     neg = N.by_source(c, _banned(s, d, c), most=12)
     texts = C.docs(s, d).select("doc_id", F.concat_ws(" ", "title", "legal_number").alias("evidence_text"))
     both = rel.select("query_id", "doc_id").union(neg.select("query_id", "doc_id")).distinct().join(texts, "doc_id").withColumn("evidence_chunk_ids", F.array(F.concat("doc_id", F.lit("_macro_001"))))
@@ -179,7 +179,7 @@ def s_p12_pairs(s, d):
 
 
 def s_p12_triples(s, d):
-    c = _mined(s, d)
+    c = cut(_mined(s, d), "mined")
     neg = N.by_source(c, _banned(s, d, c), most=12)
     return N.retriever_triples(C.relevant(s, d), neg).select("query_id", "pos_doc_id", "neg_doc_id", "neg_n")
 
