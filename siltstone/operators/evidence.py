@@ -85,13 +85,14 @@ def scored_chunks(candidates: DataFrame, queries: DataFrame, chunks: DataFrame,
         candidates = candidates.withColumn("prior_chunk_id", F.lit(None).cast("string"))
     wanted = chunks.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
     info, q = chunk_info(wanted), query_info(queries)
-    pairs = candidates.select("query_id", "doc_id", "prior_chunk_id").join(info, "doc_id")
+    # Tokens follow from the body and would double what every shuffle of pairs carries.
+    pairs = candidates.select("query_id", "doc_id", "prior_chunk_id").join(info.withColumn("n_tokens", F.size("tokens")).drop("tokens"), "doc_id")
     terms = q.select("query_id", F.explode("q_tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     hit = pairs.select("query_id", "chunk_id").distinct().join(terms, "query_id").join(chunk_terms(info), ["chunk_id", "term"])
     overlap = hit.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qf") * (1 + F.ln(1 + F.col("tf")))).alias("overlap"))
     r = pairs.join(q, "query_id").join(overlap, ["query_id", "chunk_id"], "left")
-    lexical = F.when(F.size("tokens") > 0, 2.0 * F.coalesce("overlap", F.lit(0.0)) / (F.sqrt(F.size("tokens")) + 1)).otherwise(0.0)
-    return r.select("query_id", "doc_id", "chunk_id", "article", "clause", "point", "body", "tokens", (signal_score(training) + lexical).alias("score"))
+    lexical = F.when(F.col("n_tokens") > 0, 2.0 * F.coalesce("overlap", F.lit(0.0)) / (F.sqrt("n_tokens") + 1)).otherwise(0.0)
+    return r.select("query_id", "doc_id", "chunk_id", "article", "clause", "point", "body", (signal_score(training) + lexical).alias("score"))
 
 
 def selected(scored: DataFrame, max_chunks: int, skip_empty: bool = True) -> DataFrame:
@@ -102,8 +103,9 @@ def selected(scored: DataFrame, max_chunks: int, skip_empty: bool = True) -> Dat
     ``skip_empty``, if it has no words; if too few are left, the passed-over
     ones fill up in order.  A document's only chunk is always chosen.
     """
-    item = F.struct((-steady("score")).alias("s"), "chunk_id", "article", "clause", "point", "body", F.array_distinct("tokens").alias("w"), "score")
+    item = F.struct((-steady("score")).alias("s"), "chunk_id", "article", "clause", "point", "body", "score")
     g = scored.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(item)).alias("all"))
+    g = g.withColumn("all", F.transform("all", lambda x: x.withField("w", F.array_distinct(X.word_tokens(x["body"])))))
     none = F.slice("all", F.lit(1), F.lit(0))
 
     def alike(a: Column, b: Column) -> Column:

@@ -1,7 +1,8 @@
 """Queries on evidence, reranking, selection, features and learned fusion.
 
-Candidates are the fused stored branches of every query; evidence, which reads
-whole chunks for each candidate, is built for the stated search queries.
+Candidates are the fused stored branches of every query, and evidence is built
+for all of them.  Where the registered SQL states the search queries alone, the
+query keeps to them and one named ``_all_`` gives every row.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def _prior(s, d):
 
 
 def _candidates(s, d):
-    return C.search_set(_fused(s, d)).join(_prior(s, d), ["query_id", "doc_id"], "left")
+    return _fused(s, d).join(_prior(s, d), ["query_id", "doc_id"], "left")
 
 
 def _questions(s, d):
@@ -45,8 +46,12 @@ def _macros(s, d):
     return C.chunks(s, d).filter("granularity = 'macro' and doc_id is not null")
 
 
-def _scored(s, d, training=False):
-    return E.scored_chunks(_candidates(s, d), C.search_set(_questions(s, d)), _macros(s, d), training)
+def _every(df):
+    return df
+
+
+def _scored(s, d, some=_every):
+    return E.scored_chunks(some(_candidates(s, d)), some(_questions(s, d)), _macros(s, d))
 
 
 def e01_chunk_info(s, d):
@@ -59,8 +64,12 @@ def e02_query_info(s, d):
     return q.select("query_id", F.size("q_tokens").alias("n_tokens"), F.size("q_phrases").alias("n_phrases"), F.array_join("q_phrases", "|").alias("phrases"))
 
 
-def e03_chunk_scores(s, d):
-    return _scored(s, d).select("query_id", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
+def e03_chunk_scores(s, d, some=C.search_set):
+    return _scored(s, d, some).select("query_id", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def e03_all_chunk_scores(s, d):
+    return e03_chunk_scores(s, d, _every)
 
 
 def e04_selected(s, d):
@@ -90,8 +99,7 @@ def e07_lines(s, d):
 
 def e08_positives(s, d):
     """The chunk that answers a training question in each of its relevant documents."""
-    rel = C.search_set(C.relevant(s, d))
-    got = E.selected(E.scored_chunks(rel, C.search_set(_questions(s, d)), _macros(s, d), training=True), 1, skip_empty=False)
+    got = E.selected(E.scored_chunks(C.relevant(s, d), _questions(s, d), _macros(s, d), training=True), 1, skip_empty=False)
     return got.select("query_id", "doc_id", F.get("chunks", F.lit(0))["chunk_id"].alias("chunk_id"))
 
 
@@ -100,10 +108,16 @@ def _pair_scores(s, d):
     return rec.select("query_id", "doc_id", "chunk_id", K.shared_words(F.col("question"), F.when(F.col("n") == 1, F.col("pack")).otherwise(F.col("reranker_text"))).alias("pair_score"))
 
 
-def k02_shared_words(s, d):
-    q = C.search_set(_questions(s, d))
-    c = _fused(s, d).select("query_id", "doc_id").join(q, "query_id").join(C.docs(s, d).select("doc_id", "document_text"), "doc_id")
-    return c.select("query_id", "doc_id", K.shared_words(F.col("question"), F.col("document_text")).alias("score"))
+def _full_texts(s, d, some):
+    return _fused(s, d).select("query_id", "doc_id").join(some(_questions(s, d)), "query_id").join(C.docs(s, d).select("doc_id", "document_text"), "doc_id")
+
+
+def k02_shared_words(s, d, some=C.search_set):
+    return _full_texts(s, d, some).select("query_id", "doc_id", K.shared_words(F.col("question"), F.col("document_text")).alias("score"))
+
+
+def k02_all_shared_words(s, d):
+    return k02_shared_words(s, d, _every)
 
 
 def k01_pair_scores(s, d):
@@ -125,10 +139,12 @@ def k04_reranked(s, d):
     return got.select("query_id", "doc_id", "rank", "reranker_score", "reranker_second_score", "reranker_margin", "evidence_chunk_count", "rerank_rank")
 
 
-def k05_texts(s, d):
-    q = C.search_set(_questions(s, d))
-    c = _fused(s, d).select("query_id", "doc_id").join(q, "query_id").join(C.docs(s, d).select("doc_id", "document_text"), "doc_id")
-    return K.rerank_texts(c, "question", "document_text", 5).select("query_id", "doc_id", "reranker_score", "final_rank")
+def k05_texts(s, d, some=C.search_set):
+    return K.rerank_texts(_full_texts(s, d, some), "question", "document_text", 5).select("query_id", "doc_id", "reranker_score", "final_rank")
+
+
+def k05_all_texts(s, d):
+    return k05_texts(s, d, _every)
 
 
 def k06_ensemble(s, d):
@@ -215,8 +231,8 @@ def l11_by_fixed(s, d):
 
 def k08_table(s, d):
     t = _fused(s, d).select(F.col("query_id").alias("qid"), F.col("doc_id").alias("document_id")).join(_questions(s, d).withColumnRenamed("query_id", "qid"), "qid")
-    t = C.search_set(t, "qid").join(C.docs(s, d).select(F.col("doc_id").alias("document_id"), F.col("document_text").alias("text")), "document_id")
-    state, m = K.evaluated_table(t, C.search_set(C.relevant(s, d)))
+    t = t.join(C.docs(s, d).select(F.col("doc_id").alias("document_id"), F.col("document_text").alias("text")), "document_id")
+    state, m = K.evaluated_table(t, C.relevant(s, d))
     return m.select(F.lit(state).alias("state"), *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")], "n_queries")
 
 
@@ -231,9 +247,9 @@ def p18_losses(s, d):
 
 
 QUERIES = {
-    "e01_chunk_info": e01_chunk_info, "e02_query_info": e02_query_info, "e03_chunk_scores": e03_chunk_scores, "e04_selected": e04_selected, "e05_packs": e05_packs, "e05_token_packs": e05_token_packs,
-    "e06_records": e06_records, "e07_lines": e07_lines, "e08_positives": e08_positives, "k01_pair_scores": k01_pair_scores, "k02_shared_words": k02_shared_words, "k03_by_document": k03_by_document,
-    "k04_reranked": k04_reranked, "k05_texts": k05_texts, "k06_ensemble": k06_ensemble, "l01_final": l01_final, "l02_ridge": l02_ridge, "l03_boosted": l03_boosted, "l05_matrix": l05_matrix, "l11_by_fixed": l11_by_fixed, "k08_table": k08_table, "l04_features": l04_features, "l06_prior": l06_prior, "l07_cross_fitted": l07_cross_fitted,
+    "e01_chunk_info": e01_chunk_info, "e02_query_info": e02_query_info, "e03_chunk_scores": e03_chunk_scores, "e03_all_chunk_scores": e03_all_chunk_scores, "e04_selected": e04_selected, "e05_packs": e05_packs, "e05_token_packs": e05_token_packs,
+    "e06_records": e06_records, "e07_lines": e07_lines, "e08_positives": e08_positives, "k01_pair_scores": k01_pair_scores, "k02_shared_words": k02_shared_words, "k02_all_shared_words": k02_all_shared_words, "k03_by_document": k03_by_document,
+    "k04_reranked": k04_reranked, "k05_texts": k05_texts, "k05_all_texts": k05_all_texts, "k06_ensemble": k06_ensemble, "l01_final": l01_final, "l02_ridge": l02_ridge, "l03_boosted": l03_boosted, "l05_matrix": l05_matrix, "l11_by_fixed": l11_by_fixed, "k08_table": k08_table, "l04_features": l04_features, "l06_prior": l06_prior, "l07_cross_fitted": l07_cross_fitted,
     "l08_answers": l08_answers, "l10_static_fusion": l10_static_fusion, "q18_losses": p18_losses,
 }
 
