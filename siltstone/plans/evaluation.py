@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.operators import evidence as E
 from siltstone.operators import metrics as M
 from siltstone.operators import pairs as N
 from siltstone.operators import ranking as R
@@ -164,18 +165,29 @@ def s_p11_bands(s, d):
     return _mined(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("n_queries"))
 
 
-def _pairs(s, d):
+def _evidence(s, d, pairs):
+    """Pack of the three best chunks and the id of the chunk that answers the question, by pair; without chunks the pack names the document."""
+    q, m = V._questions(s, d), V._macros(s, d)
+    chosen = E.selected(E.scored_chunks(pairs, q, m), 3)
+    texts = E.packs(pairs.join(chosen, ["query_id", "doc_id"], "left"), C.docs(s, d)).select("query_id", "doc_id", F.col("pack").alias("evidence_text"))
+    one = E.selected(E.scored_chunks(pairs, q, m, training=True), 1, skip_empty=False)
+    ids = one.select("query_id", "doc_id", F.transform("chunks", lambda x: x["chunk_id"]).alias("evidence_chunk_ids"))
+    return texts.join(ids, ["query_id", "doc_id"], "left").withColumn("evidence_chunk_ids", F.coalesce("evidence_chunk_ids", F.array().cast("array<string>")))
+
+
+def _pairs(s, d, evidence=False):
     rel = C.relevant(s, d).join(C.docs(s, d).select("doc_id"), "doc_id", "left_semi")
     c = cut(_mined(s, d), "mined")
-    neg = N.by_source(c, _banned(s, d, c), most=12)
-    texts = C.docs(s, d).select("doc_id", F.concat_ws(" ", "title", "legal_number").alias("evidence_text"))
-    both = rel.select("query_id", "doc_id").union(neg.select("query_id", "doc_id")).distinct().join(texts, "doc_id").withColumn("evidence_chunk_ids", F.array(F.concat("doc_id", F.lit("_macro_001"))))
+    neg = cut(N.by_source(c, _banned(s, d, c), most=12), "negatives")
+    both = rel.select("query_id", "doc_id").union(neg.select("query_id", "doc_id")).distinct()
+    # Coverage, order and groups show no evidence and build none.
+    both = _evidence(s, d, cut(both, "pairs")) if evidence else both.select("*", F.lit(None).cast("array<string>").alias("evidence_chunk_ids"), F.lit(None).cast("string").alias("evidence_text"))
     q = C.questions(s, d).select("query_id", F.col("question_raw").alias("question"))
     return N.reranker_pairs(rel, neg, both, q, S.bucket_folds(q.select("query_id")))
 
 
 def s_p12_pairs(s, d):
-    return _pairs(s, d).select("query_id", "doc_id", "label", "negative_source", "retrieval_rank", "fold", "evidence_text")
+    return _pairs(s, d, evidence=True).select("query_id", "doc_id", "label", "negative_source", "retrieval_rank", "fold", F.array_join("evidence_chunk_ids", ",").alias("evidence_chunk_ids"), "evidence_text")
 
 
 def s_p12_triples(s, d):

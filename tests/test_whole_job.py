@@ -50,3 +50,17 @@ def test_positive_of_every_judgement(spark, duck):
     want = {(r["query_id"], r["doc_id"]) for r in C.relevant(spark, SF).collect() if r["query_id"] in asked and r["doc_id"] in macro}
     assert len(want) > 10 and set(of(spark, "e08_positives", "query_id", "doc_id")) == want
     assert of(spark, "k08_table", "n_queries")[0][0] > 10
+
+
+def test_pairs_have_the_evidence_of_their_question(spark):
+    rows = of(spark, "s_p12_pairs", "query_id", "doc_id", "label", "evidence_chunk_ids", "evidence_text")
+    best = {r[:2]: r[2] for r in of(spark, "e08_positives", "query_id", "doc_id", "chunk_id")}
+    positive = [r for r in rows if r[2] > 0.5]
+    assert positive and len(rows) > len(positive)
+    assert all(r[3] == best.get(r[:2], "") for r in positive)
+    assert all(r[4].startswith("[DOCUMENT] ") and "[EVIDENCE 1] " in r[4] for r in rows)
+    # One document has different evidence for different questions.
+    by = {}
+    for r in rows:
+        by.setdefault(r[1], set()).add(r[4])
+    assert any(len(x) > 1 for x in by.values())
