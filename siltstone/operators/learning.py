@@ -31,10 +31,24 @@ def document_prior(relevant: DataFrame) -> DataFrame:
     return r.groupBy("doc_id").agg((F.count(F.lit(1)) / max(n, 1)).alias("train_doc_freq"))
 
 
+def fold_prior(relevant: DataFrame, folds: DataFrame) -> DataFrame:
+    """``fold, doc_id, train_doc_freq`` from the judgements of the other folds: totals minus the fold's own counts.
+
+    Judgements of queries without a fold train no fold.
+    """
+    r = relevant.select("query_id", "doc_id").dropna().distinct().join(folds.select("query_id", "fold").distinct(), "query_id")
+    own = r.groupBy("fold", "doc_id").agg(F.count(F.lit(1)).alias("own"))
+    sizes = folds.select("fold").distinct().join(r.groupBy("fold").agg(F.count_distinct("query_id").alias("held")), "fold", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    n = F.broadcast(sizes.crossJoin(F.broadcast(sizes.agg(F.sum("held").alias("n")))))  # one row a fold
+    every = own.groupBy("doc_id").agg(F.sum("own").alias("total")).crossJoin(n).join(own, ["fold", "doc_id"], "left")
+    rest = F.col("total") - F.coalesce("own", F.lit(0))
+    return every.select("fold", "doc_id", (rest / F.greatest(F.col("n") - F.col("held"), F.lit(1))).alias("train_doc_freq"))
+
+
 def features(candidates: DataFrame, prior: DataFrame | None = None, relevant: DataFrame | None = None) -> DataFrame:
     """The 42 features and the label of candidate rows.
 
-    Missing columns and values that are no finite number take their defaults:
+    A ``prior`` with a fold joins the rows of that fold.  Missing columns and values that are no finite number take their defaults:
     rank 999, reranker -999, source count 1, else 0.
     """
     have = set(candidates.columns)
@@ -75,7 +89,7 @@ def features(candidates: DataFrame, prior: DataFrame | None = None, relevant: Da
     keep = [c for c in ("fold",) if c in have]
     out = candidates.select("query_id", "doc_id", *keep, *[c.cast("double").alias(k) for k, c in f.items()], *([] if prior is not None or "train_doc_freq" not in have else [num("train_doc_freq").alias("train_doc_freq")]))
     if prior is not None:
-        out = out.join(prior, "doc_id", "left").withColumn("train_doc_freq", F.coalesce("train_doc_freq", F.lit(0.0)))
+        out = out.join(prior, ["doc_id", *[c for c in ("fold",) if c in prior.columns]], "left").withColumn("train_doc_freq", F.coalesce("train_doc_freq", F.lit(0.0)))
     elif "train_doc_freq" not in have:
         out = out.withColumn("train_doc_freq", F.lit(0.0))
     if relevant is not None:

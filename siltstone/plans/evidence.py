@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.operators import evidence as E
 from siltstone.operators import learning as G
+from siltstone.operators import memory as Y
 from siltstone.operators import ranking as R
 from siltstone.operators import rerank as K
 from siltstone.operators.splits import bucket_folds
+from siltstone.plans import pipeline as O
 from siltstone.plans import sqlparts as P
 from siltstone.plans.retrieval import _FUSED, ranked_sql, ranks_sql
 from siltstone.sources import canonical as C
@@ -190,12 +192,31 @@ def _features(s, d):
     return G.features(c, G.document_prior(C.relevant(s, d)), C.relevant(s, d))
 
 
-def l04_features(s, d):
+def _held_out(s, d):
+    """Features of candidates with question memory and document prior of the other folds."""
+    q, rel = _questions(s, d), C.relevant(s, d)
+    folds = bucket_folds(q.select("query_id"))
+    memory = O.fold_memory(q, q, rel, folds, O.Settings(memory_threshold=Y.THRESHOLD)).drop("best_chunk_id")
+    ranks = R.branch_ranks(table(s, d, "static_candidates"), DEPTH).select("query_id", "branch", "doc_id", "rank", "score")
+    return O.fold_features(R.fuse(ranks.unionByName(memory), top_k=30), q, rel, folds)
+
+
+def _shown_features(f):
     cols = ["raw_bm25_rank", "pyvi_bm25_rank", "dense_rank", "memory_rank", "exact_score", "source_count", "rrf_score", "reranker_score", "query_length", "train_doc_freq", "bm25_inv_rank", "dense_inv_rank"]
-    return _features(s, d).select("query_id", "doc_id", "fold", "label", *[F.round(c, 7).alias(c) for c in cols])
+    return f.select("query_id", "doc_id", "fold", "label", *[F.round(c, 7).alias(c) for c in cols])
+
+
+def l04_features(s, d):
+    """Features as the SQL states them, with one prior of all judgements; what is tested out of fold reads ``l12_features``."""
+    return _shown_features(_features(s, d))
+
+
+def l12_features(s, d):
+    return _shown_features(_held_out(s, d))
 
 
 LEARNED = ["raw_bm25_rank", "pyvi_bm25_rank", "dense_rank", "exact_score", "source_count", "rrf_score", "train_doc_freq"]
+HELD_OUT = [*LEARNED, "memory_rank", "memory_score"]
 
 
 def l02_ridge(s, d):
@@ -204,14 +225,14 @@ def l02_ridge(s, d):
 
 
 def l07_cross_fitted(s, d):
-    got = G.cross_fitted(cut(_features(s, d), "features"), LEARNED).filter("final_rank <= 5")
+    got = G.cross_fitted(cut(_held_out(s, d), "features"), HELD_OUT).filter("final_rank <= 5")
     return got.select("query_id", "doc_id", "fold", F.round("final_score", 6).alias("final_score"), "final_rank")
 
 
 def l03_boosted(s, d):
     """Pointwise boosted trees, fitted on all folds but the first and applied to it."""
-    f = cut(_features(s, d), "features")
-    rank = G.boosted_ranker(f.filter("fold != 0"), LEARNED, rounds=5, depth=3)
+    f = cut(_held_out(s, d), "features")
+    rank = G.boosted_ranker(f.filter("fold != 0"), HELD_OUT, rounds=5, depth=3)
     return rank(f.filter("fold = 0")).filter("final_rank <= 5").select("query_id", "doc_id", F.round("final_score", 6).alias("final_score"), "final_rank")
 
 
@@ -249,7 +270,7 @@ def p18_losses(s, d):
 QUERIES = {
     "e01_chunk_info": e01_chunk_info, "e02_query_info": e02_query_info, "e03_chunk_scores": e03_chunk_scores, "e03_all_chunk_scores": e03_all_chunk_scores, "e04_selected": e04_selected, "e05_packs": e05_packs, "e05_token_packs": e05_token_packs,
     "e06_records": e06_records, "e07_lines": e07_lines, "e08_positives": e08_positives, "k01_pair_scores": k01_pair_scores, "k02_shared_words": k02_shared_words, "k02_all_shared_words": k02_all_shared_words, "k03_by_document": k03_by_document,
-    "k04_reranked": k04_reranked, "k05_texts": k05_texts, "k05_all_texts": k05_all_texts, "k06_ensemble": k06_ensemble, "l01_final": l01_final, "l02_ridge": l02_ridge, "l03_boosted": l03_boosted, "l05_matrix": l05_matrix, "l11_by_fixed": l11_by_fixed, "k08_table": k08_table, "l04_features": l04_features, "l06_prior": l06_prior, "l07_cross_fitted": l07_cross_fitted,
+    "k04_reranked": k04_reranked, "k05_texts": k05_texts, "k05_all_texts": k05_all_texts, "k06_ensemble": k06_ensemble, "l01_final": l01_final, "l02_ridge": l02_ridge, "l03_boosted": l03_boosted, "l05_matrix": l05_matrix, "l11_by_fixed": l11_by_fixed, "k08_table": k08_table, "l04_features": l04_features, "l12_features": l12_features, "l06_prior": l06_prior, "l07_cross_fitted": l07_cross_fitted,
     "l08_answers": l08_answers, "l10_static_fusion": l10_static_fusion, "q18_losses": p18_losses,
 }
 

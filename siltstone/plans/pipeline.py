@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.operators import evidence as E
 from siltstone.operators import exact, lexical, memory, metrics, ranking, rerank
+from siltstone.operators import learning as G
 from siltstone.operators.splits import bucket_folds
 from siltstone.sources import canonical as C
 from siltstone.storage import cut
@@ -83,14 +84,32 @@ def predict(questions: DataFrame, train: DataFrame, relevant: DataFrame, docs: D
     return answered(ranks, questions, docs, chunks, c)[1]
 
 
-def out_of_fold(questions: DataFrame, every: DataFrame, relevant: DataFrame, docs: DataFrame, chunks: DataFrame, c: Settings = Settings()) -> DataFrame:
-    """``query_id, fold, answer`` with the memory of each fold built from the others."""
-    folds = bucket_folds(every.select("query_id"), c.folds)
+def fold_memory(questions: DataFrame, every: DataFrame, relevant: DataFrame, folds: DataFrame, c: Settings) -> DataFrame:
+    """The memory branch of each question, from the questions of the other folds."""
     held = questions.join(folds.withColumnRenamed("fold", "part"), "query_id")
     # A question trains every part but its own fold.
     others = F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(c.folds - 1).cast("bigint")), lambda p: p != F.col("fold")))
     train = every.join(folds, "query_id").select("*", others.alias("part")).drop("fold")
-    ranks = static_branches(questions, docs, chunks, c).unionByName(memory_branch(held, train, relevant, c))
+    return memory_branch(held, train, relevant, c)
+
+
+def fold_features(candidates: DataFrame, questions: DataFrame, relevant: DataFrame, folds: DataFrame) -> DataFrame:
+    """Feature rows with fold and label of fused candidates; the document prior comes from the other folds."""
+    c = candidates.join(questions.select("query_id", F.length(F.trim("question")).cast("double").alias("query_length")), "query_id", "left").join(folds, "query_id")
+    return G.features(c, G.fold_prior(relevant, folds), relevant)
+
+
+def out_of_fold_features(questions: DataFrame, every: DataFrame, relevant: DataFrame, docs: DataFrame, chunks: DataFrame, c: Settings = Settings()) -> DataFrame:
+    """The out-of-fold feature table of the fused and reranked candidates of ``out_of_fold``."""
+    folds = bucket_folds(every.select("query_id"), c.folds)
+    ranks = static_branches(questions, docs, chunks, c).unionByName(fold_memory(questions, every, relevant, folds, c))
+    return fold_features(answered(ranks, questions, docs, chunks, c)[0], questions, relevant, folds)
+
+
+def out_of_fold(questions: DataFrame, every: DataFrame, relevant: DataFrame, docs: DataFrame, chunks: DataFrame, c: Settings = Settings()) -> DataFrame:
+    """``query_id, fold, answer`` with the memory of each fold built from the others."""
+    folds = bucket_folds(every.select("query_id"), c.folds)
+    ranks = static_branches(questions, docs, chunks, c).unionByName(fold_memory(questions, every, relevant, folds, c))
     return answered(ranks, questions, docs, chunks, c)[1].join(folds, "query_id").select("query_id", "fold", "answer")
 
 
