@@ -42,3 +42,22 @@ def test_features_do_not_read_their_own_labels(spark, folds):
     assert got["a", "1"] == (1.0, 0.5) and got["c", "1"] == (1.0, 0.666667) and got["b", "9"] == (999.0, 0.0)
     other = of([r for r in RELEVANT if r != ("a", "1")] + [("a", "9")])
     assert {k: v for k, v in other.items() if k[0] in "ab"} == {k: v for k, v in got.items() if k[0] in "ab"}
+
+
+def test_every_fold_is_boosted(spark):
+    """As many queries as features, and a fold's scores do not follow its own labels."""
+    rows = [(f"q{i % 15}", f"d{i}", i % 15 % 5, float(i % 7), int(i % 7 > 4)) for i in range(150)]
+    df = spark.createDataFrame(rows, "query_id string, doc_id string, fold int, a double, label int")
+    of = lambda x: {r["doc_id"]: (r["fold"], r["final_score"]) for r in G.cross_boosted(x, ["a"], rounds=2, depth=2).collect()}
+    got = of(df)
+    assert set(got) == {r[1] for r in rows} and {f for f, _ in got.values()} == set(range(5))
+    other = of(df.selectExpr("query_id", "doc_id", "fold", "a", "if(fold = 0, 1 - label, label) as label"))
+    assert all(other[k] == v for k, v in got.items() if v[0] == 0) and other != got
+
+
+def test_queries_rank_every_candidate_query(spark):
+    import __spark_entry__ as E
+
+    sf = "/root/testdata/sf0.001"
+    run = lambda name: {r[0] for r in E.queries()[name](spark, sf).select("query_id").collect()}
+    assert run("l03_boosted") == run("l12_features")
