@@ -62,19 +62,19 @@ def tables(spark):
 def test_conflicts(tables, rows):
     """Chains over questions, documents and acts; a document unknown to the tables; hub keys that are blank; repeated rows."""
     q, d, r, s = tables
-    records, ties = S.legal_records(q, d, r)
-    assert rows(S.conflicts(records, ties, S.stored_sides(s), q)) == [("q1", "q1"), ("q1", "q2"), ("q1", "q3")]
+    state, _ = S.extended(None, *S.legal_records(q, d, r), S.stored_sides(s))
+    assert rows(S.conflicts(state, q)) == [("q1", "q1"), ("q1", "q2"), ("q1", "q3")]
 
 
 def test_one_record_on_both_sides(tables, spark, rows):
     q, d, r, _ = tables
     s = spark.sql("select array('q4') as train_qids, array('q4') as val_qids, array('x') as train_doc_ids, cast(null as array<string>) as val_doc_ids")
-    assert rows(S.conflicts(*S.legal_records(q, d, r), S.stored_sides(s), q)) == [("q4", "q4")]
+    assert rows(S.conflicts(S.extended(None, *S.legal_records(q, d, r), S.stored_sides(s))[0], q)) == [("q4", "q4")]
 
 
 def test_split_keeps_groups_together(tables, rows):
     q, d, r, s = tables
-    got = S.split(*S.legal_records(q, d, r), S.stored_sides(s)).collect()
+    got = S.split(S.extended(None, *S.legal_records(q, d, r), S.stored_sides(s))[0]).collect()
     side = {(x["kind"], x["record_id"]): (x["component"], x["side"], x["quarantined"]) for x in got}
     assert side["query", "q1"][2] and side["query", "q1"][1] is None and side["query", "q1"] == side["document", "d2"] == side["query", "q3"]
     assert side["query", "q5"][1:] == ("validation", False) and side["query", "q4"] == side["document", "d9"] and side["query", "q4"][1] == "train"
@@ -95,7 +95,36 @@ def test_proportions_and_stored_sides(spark):
     assert got.join(c.filter("held is not null"), "root").filter("side != 'test'").count() == 0
 
 
+def test_batches_equal_one_solve(tables, spark, rows, tmp_path):
+    """A stored state extended by the judgements has the components of one solve; sides that a batch gave are kept."""
+    q, d, r, s = tables
+    first, later = S.legal_batches(q, d, r)
+    state, _ = S.extended(None, *first, S.stored_sides(s))
+    S.save(state, str(tmp_path / "state"))
+    state = S.load(spark, str(tmp_path / "state"))
+    before = {x["record_id"]: x["side"] for x in S.split(state).collect()}
+    two, merges = S.extended(state, *later, None)
+    one, _ = S.extended(None, *S.legal_records(q, d, r), S.stored_sides(s))
+    assert rows(S.components(two)) == rows(S.components(one)) and merges.count() > 0
+    after = {x["record_id"]: (x["side"], x["quarantined"]) for x in S.split(two).collect()}
+    for k, side in before.items():
+        assert after[k] == (side, False) or after[k] == (None, True)
+    assert after["q1"] == (None, True) and after["q5"] == ("validation", False)
+    again, none = S.extended(two, *later, None)
+    assert rows(S.split(again)) == rows(S.split(two)) and none.filter("old_root != root").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 20])
+def test_proportions_by_component_size(spark, size):
+    """50,000 components of one size, named by their smallest md5 as the operator does, meet the proportions."""
+    c = spark.range(50_000).select(F.array_min(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.md5(F.concat_ws("-", F.col("id"), k)))).alias("h"))
+    c = c.select(F.unhex("h").alias("root"), F.lit(size).cast("long").alias("n_records"), F.lit(None).cast("array<string>").alias("held"))
+    n = {r["side"]: r["n"] for r in S.assign(c).groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for s, p in S.SIDES.items():
+        assert abs(n[s] / 50_000 - p) < 0.01
+
+
 def test_empty(tables, spark):
     q, d, r, s = (t.limit(0) for t in tables)
-    assert S.conflicts(*S.legal_records(q, d, r), S.stored_sides(s), q).count() == 0
-    assert S.split(*S.legal_records(q, d, r), S.stored_sides(s)).count() == 0
+    assert S.conflicts(S.extended(None, *S.legal_records(q, d, r), S.stored_sides(s))[0], q).count() == 0
+    assert S.split(S.extended(None, *S.legal_records(q, d, r), S.stored_sides(s))[0]).count() == 0
