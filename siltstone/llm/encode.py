@@ -1,14 +1,15 @@
 """Token ids of whole corpora by a public byte-level vocabulary.
 
 Texts are split into words by the vocabulary's public pattern on the JVM side.
-Every distinct word is encoded once: a fold over its byte array merges, step by
-step, the leftmost of the adjacent pairs of lowest rank, which a literal rank
-map in the plan names.  The ids of the ``FREQUENT`` most frequent words, a
-fixed bound, become a second literal; all other words reach the texts that
-hold them by a join on the word.  So no vocabulary is collected or broadcast,
-and no text is cut up and put together again.  Words over ``LONG`` bytes, where
-the fold's quadratic cost would show, are merged by a heap in Arrow batches with
-the same result.  Decoding concatenates the tokens' binary pieces.
+A word is encoded by a fold over its byte array, which merges, step by step, the
+leftmost of the adjacent pairs of lowest rank that a literal rank map in the plan
+names.  The ``FREQUENT`` most frequent distinct words, a fixed bound, are encoded
+once and become a second literal; every other word is folded where it stands, as
+these are few by definition.  So one pass over the texts makes the ids: no word,
+text or id is shuffled, joined or broadcast, at any size.  Words over ``LONG``
+bytes, where the fold's quadratic cost would show, are merged by a heap in Arrow
+batches with the same result; texts that may hold one are told apart by a
+pattern.  Decoding concatenates the tokens' binary pieces.
 
 The tokenizer file is a parameter and is read on the driver; its size is fixed.
 
@@ -32,12 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from siltstone.operators.skew import salted_join
 from siltstone.storage import cut
 
 FOLDER = os.environ.get("SILTSTONE_TOKENIZERS", "/opt/tokenizers")
 FREQUENT, FREQUENT_BYTES, LONG = 32768, 64, 256
 BUCKETS = 1 << 16
+#: A run that may make a word of more than ``LONG`` bytes, of at most four bytes a character.
+LONG_RUN = rf"(?U)\p{{L}}{{{LONG // 4},}}|\p{{N}}{{{LONG // 4},}}|[^\s\p{{L}}\p{{N}}]{{{LONG // 4},}}|\s{{{LONG // 4},}}"
 #: Fixed value: the public pattern of the byte-level vocabularies; (?U) gives \\s its Unicode meaning.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -135,51 +137,65 @@ def heap_merges(word: bytes, byte_ids: list[int], pairs: dict[int, int]) -> list
     return [x for x, live in zip(ids, alive, strict=True) if live]
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``words`` with a column ``ids`` for its column ``word``."""
-    tokens, pairs = vocabulary(path)
+def _byte_ids(tokens: list[bytes]) -> list[int]:
     at = {t: i for i, t in enumerate(tokens) if len(t) == 1}
-    byte_ids = [at[bytes([x])] for x in range(256)]
-    ranks = rank_map(pairs)
-    literal = F.from_json(F.lit(json.dumps(byte_ids)), "array<int>")
-    short = words.filter(F.octet_length("word") <= LONG).withColumn("ids", fold_merges(F.col("word"), literal, ranks))
+    return [at[bytes([x])] for x in range(256)]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [heap_merges(w.encode(), byte_ids, pairs) for w in b.column(b.schema.get_field_index("word")).to_pylist()]
-            yield b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
 
-    schema = StructType(list(words.schema.fields)).add("ids", ArrayType(IntegerType()))
-    return short.unionByName(words.filter(F.octet_length("word") > LONG).mapInArrow(work, schema))
+def folded(word: Column, path: str) -> Column:
+    """``fold_merges`` with the literals of the vocabulary at ``path``."""
+    tokens, pairs = vocabulary(path)
+    return fold_merges(word, F.from_json(F.lit(json.dumps(_byte_ids(tokens))), "array<int>"), rank_map(pairs))
 
 
-def _frequent(vocab: DataFrame) -> Column | None:
+def _frequent(counted: DataFrame, path: str) -> Column:
     """A literal of the ids of the most frequent words; at most ``FREQUENT`` short rows reach the driver."""
-    rows = vocab.filter(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").select("word", "ids").limit(FREQUENT).collect()
+    top = cut(counted.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word"), "words")
+    rows = top.repartition(top.sparkSession.sparkContext.defaultParallelism, "word").withColumn("ids", folded(F.col("word"), path)).collect()
     buckets: list[dict] = [{} for _ in range(BUCKETS)]
     for r in rows:
         buckets[zlib.crc32(r["word"].encode()) & (BUCKETS - 1)][r["word"]] = r["ids"]
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"), ensure_ascii=False)), "array<map<string,array<int>>>")
 
 
+def _with_long(df: DataFrame, path: str) -> DataFrame:
+    """``df`` with ``_long``: for every word of ``_words``, its ids if it is longer than ``LONG`` bytes."""
+    tokens, pairs = vocabulary(path)
+    byte_ids = _byte_ids(tokens)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(whole.num_rows):
+                b = whole.slice(k, 1)
+                words = b.column(b.schema.get_field_index("_words"))[0].as_py()
+                ids = [heap_merges(x, byte_ids, pairs) if len(x := w.encode("utf-8", "surrogatepass")) > LONG else None for w in words]
+                yield b.append_column("_long", pa.array([ids], pa.list_(pa.list_(pa.int32()))))
+
+    return df.mapInArrow(work, StructType(list(df.schema.fields)).add("_long", ArrayType(ArrayType(IntegerType()))))
+
+
 def encode(df: DataFrame, text: str, path: str | None = None) -> DataFrame:
     """``df`` with a column ``ids``, the token ids of the whole ``text``; an ``ids`` that it has already is replaced."""
     keep = [c for c in df.columns if c != "ids"]
     path = path or os.path.join(FOLDER, "byte_bpe_50k.tiktoken")
-    words = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
-    counted = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    vocab = cut(encode_words(cut(counted, "words"), path), "vocabulary")
-    frequent = _frequent(vocab)
+    split = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
+    counted = df.select(F.explode(split).alias("word")).filter(F.octet_length("word") <= FREQUENT_BYTES).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    frequent = _frequent(counted, path)
 
     def usual(w: Column) -> Column:
         return F.get(frequent, F.crc32(F.encode(w, "UTF-8")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[w]
 
-    key = F.md5(text)
-    rare = df.select(key.alias("_key"), F.explode(F.filter(words, lambda w: usual(w).isNull())).alias("word")).distinct()
-    rare = salted_join(rare, vocab.select("word", "ids"), ["word"], ["_key"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("_rare"))
-    rows = salted_join(df.withColumn("_key", key), cut(rare, "rare"), ["_key"], keep, "left")
-    ids = F.flatten(F.transform(words, lambda w: F.coalesce(usual(w), F.col("_rare")[w])))
-    return rows.select(*keep, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+    def ids(long: Column | None) -> Column:
+        def of(w: Column, i: Column) -> Column:
+            short = F.when(F.octet_length(w) <= LONG, folded(w, path))
+            return F.coalesce(usual(w), short if long is None else short.otherwise(F.get(long, i)))
+
+        return F.coalesce(F.flatten(F.transform("_words", of)), F.array().cast("array<int>")).alias("ids")
+
+    has_long = F.coalesce((F.octet_length(text) > LONG) & F.col(text).rlike(LONG_RUN), F.lit(False))
+    usual_rows = df.filter(~has_long).select(*keep, split.alias("_words")).select(*keep, ids(None))
+    long_rows = _with_long(df.filter(has_long).select(*keep, split.alias("_words")), path).select(*keep, ids(F.col("_long")))
+    return usual_rows.unionByName(long_rows)
 
 
 def decode(ids: Column, path: str | None = None) -> Column:

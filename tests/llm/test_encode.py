@@ -37,7 +37,7 @@ def test_round_trip(spark):
 
 
 def test_words_outside_the_frequent_ones(spark, tokenizer, monkeypatch):
-    """With hardly any frequent words, all ids come over the join, with the same result."""
+    """With hardly any frequent words nearly all are folded where they stand, with the same result."""
     monkeypatch.setattr(E, "FREQUENT", 3)
     data = [(i, t) for i, t in enumerate(texts())]
     got = {r["doc_id"]: list(r["ids"]) for r in E.encode(spark.createDataFrame(data, "doc_id long, text string"), "text").collect()}
@@ -49,10 +49,28 @@ def test_fold_and_heap_agree(spark):
     tokens, pairs = E.vocabulary(f"{E.FOLDER}/byte_bpe_50k.tiktoken")
     at = {t: i for i, t in enumerate(tokens) if len(t) == 1}
     byte_ids = [at[bytes([x])] for x in range(256)]
-    got = E.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), f"{E.FOLDER}/byte_bpe_50k.tiktoken").collect()
+    words = [w for w in words if len(w.encode()) <= E.LONG]
+    got = spark.createDataFrame([(w,) for w in words], "word string").withColumn("ids", E.folded(F.col("word"), f"{E.FOLDER}/byte_bpe_50k.tiktoken")).collect()
     assert {r["word"]: list(r["ids"]) for r in got} == {w: E.heap_merges(w.encode(), byte_ids, pairs) for w in words}
 
 
+def test_plan_moves_no_text(spark, monkeypatch):
+    """Without broadcasts the pass over the texts has no exchange and no join; a text of many rare words is not quadratic."""
+    monkeypatch.setattr(E, "FREQUENT", 3)
+    r = random.Random(3)
+    big = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20_000))
+    df = spark.createDataFrame([(1, big), (2, "một hai")], "doc_id long, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = E.encode(df, "text")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        assert out.withColumn("back", E.decode(F.col("ids"))).join(df.withColumnRenamed("text", "t"), "doc_id").filter("back != t").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert E.encode(df, "text").count() == 0
