@@ -48,6 +48,17 @@ def _spread(spread: list[str], n: str) -> F.Column:
     return F.pmod(F.xxhash64(*spread), F.col(n)).cast("int")
 
 
+def salted(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str], seen: DataFrame | None = None, n: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides and the columns to join them on, so that no task holds all ``rows`` of a heavy key."""
+    heavy = {} if n is not None and n < SMALL else heavy_keys(rows if seen is None else seen, keys)
+    if not heavy:
+        return rows, lookup, keys
+    columns = [*keys, *[c for c in rows.columns if c not in keys]]
+    left = _salts(rows, keys, heavy, "_n").withColumn("_salt", _spread(spread, "_n")).select(*columns, "_salt")
+    right = _salts(lookup, keys, heavy, "_n").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return left, right, [*keys, "_salt"]
+
+
 def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str], how: str = "inner", seen: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """Join many ``rows`` to a ``lookup`` of few rows a key.
 
@@ -55,16 +66,11 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: lis
     ``spread``, and the lookup's rows of that key are repeated once a salt.
     ``seen`` is a cheaper frame with the same keys to find heavy ones in; with
     ``n`` rows below ``SMALL``, where known, any task can hold them all.
-    ``how`` is ``inner``, ``left`` or ``left_semi``.  Null keys match nothing,
-    as in any equi-join.
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.  Null keys
+    match nothing, as in any equi-join.
     """
-    heavy = {} if n is not None and n < SMALL else heavy_keys(rows if seen is None else seen, keys)
-    if not heavy:
-        return rows.join(lookup, keys, how)
-    columns = [*keys, *[c for c in rows.columns if c not in keys]]
-    left = _salts(rows, keys, heavy, "_n").withColumn("_salt", _spread(spread, "_n")).select(*columns, "_salt")
-    right = _salts(lookup, keys, heavy, "_n").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    left, right, on = salted(rows, lookup, keys, spread, seen, n)
+    return left.join(right, on, how).drop("_salt")
 
 
 def grid_join(left: DataFrame, right: DataFrame, keys: list[str], spread: tuple[list[str], list[str]], seen: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

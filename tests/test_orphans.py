@@ -50,6 +50,35 @@ def test_state_merges_like_one_batch(parts, rows):
     assert "5" not in {r["key"] for r in O.orphan_keys(gone).collect()}
 
 
+def test_withdrawn_and_loaded_again(parts, spark, rows):
+    """Withdrawn on day 3 and loaded again on day 5: an orphan between, none afterwards; a late copy of the withdrawn delivery changes nothing."""
+    refs = [("a", "1", T[1], None, None), ("b", "1", T[3], None, None), ("c", "1", T[6], None, None), ("d", "1", T[0], None, None)]
+    docs = [("1", T[1], T[2], None), ("1", T[4], None, None)]
+    r, t = parts(refs, docs)
+    assert rows(O.broken_references(r, t)) == [("chunks", "document_id", "b", "2024-04", "deleted"), ("chunks", "document_id", "d", "2024-01", "late")]
+    state = O.merge_state(O.reference_deltas(r), O.existence_deltas(t))
+    assert O.orphan_keys(state).count() == 0
+    r, t = parts(refs, [("1", T[1], T[2], None), ("1", T[4], T[2], None)])
+    assert {x["row_key"]: x["kind"] for x in O.broken_references(r, t).collect()} == {"b": "deleted", "c": "deleted", "d": "late"}
+
+
+def test_take_back_and_restore(parts, rows):
+    """A batch of deliveries and one of references taken back leave no trace; loading again restores."""
+    refs, docs = [("a", "1", T[3], None, None), ("b", "2", T[3], None, None)], [("1", T[0], None, None), ("2", T[0], None, None)]
+    r, t = parts(refs, docs)
+    state = O.merge_state(O.reference_deltas(r), O.existence_deltas(t))
+    _, one = parts(refs, docs[:1])
+    back = O.merge_state(state, O.existence_deltas(one, sign=-1))
+    assert rows(O.orphan_keys(back)) == [("docs", "1", 1, "missing")]
+    assert rows(O.merge_state(back, O.existence_deltas(one))) == rows(state)
+    first, _ = parts(refs[:1], docs)
+    less = O.merge_state(back, O.reference_deltas(first, sign=-1))
+    assert O.orphan_keys(less).count() == 0 and O.current(less).filter("key = '1'").count() == 0
+    again = O.merge_state(less, O.reference_deltas(first))
+    assert rows(O.orphan_keys(again)) == [("docs", "1", 1, "missing")]
+    assert rows(O.broken_references(r, parts(refs, docs[1:])[1], again)) == [("chunks", "document_id", "a", "2024-04", "missing")]
+
+
 def test_empty(parts):
     assert O.broken_references(*parts([], [])).count() == 0
     assert O.broken_references(*parts([("a", "1", T[0], None, None)], [])).first()["kind"] == "missing"
