@@ -37,7 +37,7 @@ from siltstone.storage import cut
 
 FOLDER = os.environ.get("SILTSTONE_TOKENIZERS", "/opt/tokenizers")
 FREQUENT, FREQUENT_BYTES, LONG = 32768, 64, 256
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: A run that may make a word of more than ``LONG`` bytes, of at most four bytes a character.
 LONG_RUN = rf"(?U)\p{{L}}{{{LONG // 4},}}|\p{{N}}{{{LONG // 4},}}|[^\s\p{{L}}\p{{N}}]{{{LONG // 4},}}|\s{{{LONG // 4},}}"
 #: Fixed value: the public pattern of the byte-level vocabularies; (?U) gives \\s its Unicode meaning.
@@ -185,17 +185,13 @@ def encode(df: DataFrame, text: str, path: str | None = None) -> DataFrame:
     def usual(w: Column) -> Column:
         return F.get(frequent, F.crc32(F.encode(w, "UTF-8")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[w]
 
-    def ids(long: Column | None) -> Column:
-        def of(w: Column, i: Column) -> Column:
-            short = F.when(F.octet_length(w) <= LONG, folded(w, path))
-            return F.coalesce(usual(w), short if long is None else short.otherwise(F.get(long, i)))
-
-        return F.coalesce(F.flatten(F.transform("_words", of)), F.array().cast("array<int>")).alias("ids")
+    def of(w: Column, i: Column) -> Column:
+        return F.coalesce(usual(w), F.when(F.octet_length(w) <= LONG, folded(w, path)).otherwise(F.get("_long", i)))
 
     has_long = F.coalesce((F.octet_length(text) > LONG) & F.col(text).rlike(LONG_RUN), F.lit(False))
-    usual_rows = df.filter(~has_long).select(*keep, split.alias("_words")).select(*keep, ids(None))
-    long_rows = _with_long(df.filter(has_long).select(*keep, split.alias("_words")), path).select(*keep, ids(F.col("_long")))
-    return usual_rows.unionByName(long_rows)
+    rows = df.filter(~has_long).select(*keep, split.alias("_words")).withColumn("_long", F.lit(None).cast("array<array<int>>"))
+    rows = rows.unionByName(_with_long(df.filter(has_long).select(*keep, split.alias("_words")), path))
+    return rows.select(*keep, F.coalesce(F.flatten(F.transform("_words", of)), F.array().cast("array<int>")).alias("ids"))
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
