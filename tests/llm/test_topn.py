@@ -41,6 +41,27 @@ def test_row_groups_below_the_nth_score_are_skipped(spark, tmp_path):
     assert sorted(got[got["g0"] == "g"]["item"])[:10] == [f"{i:05d}" for i in range(10)]
 
 
+def test_small_groups_are_skipped_too(spark):
+    """Hundreds of groups in every row group: what lies below all their N-th scores is skipped, and the result is whole."""
+    r = random.Random(9)
+    data = [(f"q{i % 300}", "x", f"{r.randrange(10**6)}", r.random()) for i in range(60_000)]
+    df = spark.createDataFrame(data, "q string, b string, d string, score double")
+    path = T.clustered(df, ["q", "b"], "d", "score", 4096)
+    n = T.row_groups(spark, path, 2, 10).agg(F.sum("n_read"), F.sum("n_skipped")).first()
+    assert n[1] > n[0]
+    got = sorted(tuple(x)[:4] for x in T.top_n_clustered(spark, path, 2, 10).select("g0", "g1", "place", "item").collect())
+    assert got == brute(data, 10)
+
+
+def test_stored_table_is_written_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", "1", 0.5), ("a", "2", 0.7)], "q string, d string, score double")
+    df.write.parquet(str(tmp_path / "t"))
+    one = T.stored(spark.read.parquet(str(tmp_path / "t")), ["q"], "d", "score")
+    assert T.stored(spark.read.parquet(str(tmp_path / "t")), ["q"], "d", "score") == one
+    df.write.mode("append").parquet(str(tmp_path / "t"))
+    assert T.stored(spark.read.parquet(str(tmp_path / "t")), ["q"], "d", "score") != one
+
+
 def test_equal_scores_over_row_groups_are_read(tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
