@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import safe_number
 from siltstone.operators.ranking import best, final_rrf, steady
+from siltstone.sources.stores import read_bytes, write_bytes
 
 ABSENT_RANK, UNSCORED = 999.0, -999.0
 #: Names of the features, the core ones and the auxiliary ones.
@@ -139,6 +140,10 @@ class Ridge:
     def score(self) -> Column:
         return sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * float(w) for c, w in zip(self.columns, self.coefficients, strict=True)), F.lit(self.intercept))
 
+    def rank(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``final_score`` and ``final_rank``."""
+        return best(df.withColumn("final_score", self.score()), ["query_id"], [F.desc(steady("final_score")), F.asc("doc_id")], 2**31 - 1, "final_rank")
+
     def to_json(self) -> str:
         return json.dumps({"model_type": "linear_ridge", "feature_cols": self.columns, "alpha": self.alpha, "coef": [float(x) for x in self.coefficients], "intercept": self.intercept})
 
@@ -193,27 +198,66 @@ def losses(temperature: float = 1.0, margin: float = 1.0) -> dict[str, Column]:
     return {"bce": soft(x) - x * y, "pairwise_logistic": soft(-gap), "pairwise_margin": F.greatest(F.lit(0.0), margin - (F.col("pos") - F.col("neg"))), "listwise": lse - F.get(s, F.lit(0))}
 
 
-def boosted_ranker(df: DataFrame, columns: list[str], label: str = "label", rounds: int = 20, depth: int = 5, seed: int = 42):
+class Boosted:
     """Gradient-boosted trees on single candidates, in place of a listwise ranker that Spark does not have.
 
     The result is an approximation of its own, not the listwise model's.
-    Returns a function from feature rows to rows with ``final_score`` and
-    ``final_rank``; without rows to learn from it ranks by fixed fusion.
+    Without rows to learn from it ranks by fixed fusion.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
 
-    if not df.limit(1).count():
-        return lambda x: x.join(rank_by_fixed(x).select("query_id", "doc_id", "final_score", "final_rank"), ["query_id", "doc_id"])
-    pack = VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="error")
-    clean = lambda x: x.na.fill(0.0, columns)
-    model = GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="final_score", maxIter=rounds, maxDepth=depth, seed=seed).fit(pack.transform(clean(df)))
+    def __init__(self, columns: list[str], rounds: int = 20, depth: int = 5, seed: int = 42):
+        self.columns, self.rounds, self.depth, self.seed, self.model = list(columns), rounds, depth, seed, None
+
+    def _packed(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import VectorAssembler
+
+        return VectorAssembler(inputCols=self.columns, outputCol="_x", handleInvalid="error").transform(df.na.fill(0.0, self.columns))
+
+    def fit(self, df: DataFrame, label: str = "label") -> Boosted:
+        from pyspark.ml.regression import GBTRegressor
 
-    def rank(x: DataFrame) -> DataFrame:
-        scored = model.transform(pack.transform(clean(x))).drop("_x")
+        if df.limit(1).count():
+            self.model = GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="final_score", maxIter=self.rounds, maxDepth=self.depth, seed=self.seed).fit(self._packed(df))
+        return self
+
+    def rank(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``final_score`` and ``final_rank``."""
+        if self.model is None:
+            return df.join(rank_by_fixed(df).select("query_id", "doc_id", "final_score", "final_rank"), ["query_id", "doc_id"])
+        scored = self.model.transform(self._packed(df)).drop("_x")
         return best(scored, ["query_id"], [F.desc(steady("final_score")), F.asc("doc_id")], 2**31 - 1, "final_rank")
 
-    return rank
+
+def boosted_ranker(df: DataFrame, columns: list[str], label: str = "label", rounds: int = 20, depth: int = 5, seed: int = 42):
+    """A function from feature rows to ranked rows by ``Boosted`` trees fitted on ``df``."""
+    return Boosted(columns, rounds, depth, seed).fit(df, label).rank
+
+
+def save_model(spark: SparkSession, model: Ridge | Boosted, path: str) -> None:
+    """Store a fitted ranker of either kind in a folder."""
+    if isinstance(model, Ridge):
+        write_bytes(spark, f"{path}/model.json", model.to_json().encode())
+        return
+    if model.model is not None:
+        model.model.write().overwrite().save(f"{path}/trees")
+    form = {"model_type": "boosted_trees", "feature_cols": model.columns, "rounds": model.rounds, "depth": model.depth, "seed": model.seed, "fitted": model.model is not None}
+    write_bytes(spark, f"{path}/model.json", json.dumps(form).encode())
+
+
+def load_model(spark: SparkSession, path: str) -> Ridge | Boosted:
+    """The stored ranker; its kind is told by the form of its description."""
+    text = read_bytes(spark, f"{path}/model.json").decode()
+    form = json.loads(text)
+    if form.get("model_type") == "linear_ridge" or "coef" in form:
+        return Ridge.from_json(text)
+    if form.get("model_type") != "boosted_trees":
+        raise ValueError(f"no ranker is known by this form: {sorted(form)}")
+    out = Boosted(form["feature_cols"], form["rounds"], form["depth"], form["seed"])
+    if form["fitted"]:
+        from pyspark.ml.regression import GBTRegressionModel
+
+        out.model = GBTRegressionModel.load(f"{path}/trees")
+    return out
 
 
 def cross_boosted(df: DataFrame, columns: list[str], **kw) -> DataFrame:

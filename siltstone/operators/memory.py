@@ -10,12 +10,13 @@ n-grams are never joined; candidates are verified on the whole vectors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import text as X
 from siltstone.operators.ranking import best, steady
+from siltstone.operators.vectors import within
 
 THRESHOLD = 0.82
 
@@ -70,19 +71,45 @@ def parted(questions: DataFrame) -> DataFrame:
     return questions if "part" in questions.columns else questions.withColumn("part", F.lit(0))
 
 
-def similar(queries: DataFrame, train: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar(queries: DataFrame, train: DataFrame | None, threshold: float = THRESHOLD, stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``part, query_id, train_id, lexical`` of all pairs of different ids with cosine at least the threshold.
 
     Both sides have ``query_id, text`` and may have ``part``; only equal parts
     meet, and the vocabulary is fitted on the training questions of a part.
+    ``stored`` is a memory that ``load`` read; it stands for ``train``.
     """
-    tf, df = fitted(parted(train))
-    t, q = weighted(tf, df), weighted(counts(parted(queries)), df)
+    if stored is None:
+        tf, df = fitted(parted(train))
+        t = weighted(tf, df)
+    else:
+        t, df = stored
+    q = weighted(counts(parted(queries)), df)
     near = prefix(q, threshold).join(prefix(t, threshold).withColumnRenamed("query_id", "train_id"), ["part", "g"]).filter("query_id != train_id").select("part", "query_id", "train_id").distinct()
     both = near.join(q.select("part", "query_id", "g", F.col("w").alias("x")), ["part", "query_id"]).join(t.select("part", F.col("query_id").alias("train_id"), "g", F.col("w").alias("y")), ["part", "train_id", "g"])
     return both.groupBy("part", "query_id", "train_id").agg(F.sum(F.col("x") * F.col("y")).alias("lexical")).filter(F.col("lexical") >= threshold - 1e-9)
 
 
+def save(train: DataFrame, path: str) -> None:
+    """Store a fitted memory: weighted n-grams of the training questions, sorted by n-gram, and the vocabulary."""
+    tf, df = fitted(parted(train))
+    df.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    weighted(tf, df).repartitionByRange("g").sortWithinPartitions("g", "query_id").write.mode("overwrite").parquet(f"{path}/weights")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/vocabulary")
+
+
+def both_arms(lexical: DataFrame, queries: DataFrame, train: DataFrame, threshold: float) -> DataFrame:
+    """``query_id, train_id, lexical, dense`` of pairs that reach the lexical or the dense threshold; the other is null.
+
+    ``lexical`` comes from ``similar``; ``queries`` and ``train`` have ``id, v``
+    with unit vectors of the same encoder.
+    """
+    dense = within(queries, train, threshold).filter("query_id != chunk_id").select("query_id", F.col("chunk_id").alias("train_id"), F.col("score").alias("dense"))
+    return lexical.select("query_id", "train_id", "lexical").join(dense, ["query_id", "train_id"], "full")
+
+
 def votes(pairs: DataFrame, relevant: DataFrame, n_train: int, top_k: int = 5, lexical_weight: float = 1.0, dense_weight: float = 1.0) -> DataFrame:
     """Documents voted for by similar questions.
 

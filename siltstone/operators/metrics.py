@@ -123,10 +123,12 @@ def ceilings(candidates: DataFrame, relevant: DataFrame, k: int = 5) -> DataFram
 
 
 def promoted(candidate: dict[str, float], baseline: dict[str, float], max_drop: float = 0.02) -> tuple[bool, str]:
-    """Whether a result replaces another: candidate recall must hold, then recall decides, then precision."""
+    """Whether a result replaces another: candidate recall and, where both have it, document-disjoint recall must hold, then recall decides, then precision."""
     drop = baseline.get("candidate_recall@150", 1.0) - candidate.get("candidate_recall@150", 1.0)
     if drop > max_drop:
         return False, f"candidate recall fell by {drop:.4f}"
+    if "disjoint_recall@5" in baseline and "disjoint_recall@5" in candidate and baseline["disjoint_recall@5"] - candidate["disjoint_recall@5"] > max_drop:
+        return False, f"document-disjoint recall fell by {baseline['disjoint_recall@5'] - candidate['disjoint_recall@5']:.4f}"
     for name in ("recall@5", "precision@5"):
         a, b = candidate.get(name, 0.0), baseline.get(name, 0.0)
         if a != b:
@@ -146,6 +148,19 @@ def same_order(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.filter(~F.equal_null("x", "y")).select("query_id")
 
 
+def acceptance(answers: DataFrame, expected: DataFrame, corpus: DataFrame, relevant: DataFrame, least: dict[str, float]) -> DataFrame:
+    """One row recomputed from stored answers: coverage, errors, recall and precision, and the verdict.
+
+    ``PASS`` needs no error and every measure of ``least`` reached.
+    """
+    have = expected.select("query_id").distinct().join(answers.select("query_id").distinct().withColumn("_a", F.lit(1)), "query_id", "left")
+    covered = have.agg(F.count(F.lit(1)).alias("n_expected"), F.count("_a").alias("n_answered"))
+    wrong = answer_errors(answers, expected, corpus).agg(F.count(F.lit(1)).alias("n_errors"))
+    score = means(per_query(answers, relevant)).select(*[F.round(c, 6).alias(c) for c in ("recall", "precision")])
+    good = reduce(lambda a, b: a & b, [F.coalesce(F.col(k), F.lit(0.0)) >= v for k, v in least.items()], F.col("n_errors") == 0)
+    return covered.crossJoin(wrong).crossJoin(score).withColumn("verdict", F.when(good, "PASS").otherwise("FAIL"))  # single rows
+
+
 # Validation ----------------------------------------------------------------
 
 #: Columns of the canonical tables.

@@ -70,6 +70,14 @@ def reranked(candidates: DataFrame, documents: DataFrame, top_k: int) -> DataFra
     return best(r, ["query_id"], [F.desc(head), F.when(head, -steady("reranker_score")), F.when(~head, F.col("rank")), F.asc("doc_id")], 2**31 - 1, "rerank_rank")
 
 
+def reranked_packs(candidates: DataFrame, packed: DataFrame, questions: DataFrame, top_k: int, score: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """Candidates with each of the first ``top_k`` documents scored by question and pack; without a scorer they keep their order unscored."""
+    if score is None:
+        return best(candidates.withColumn("reranker_score", F.lit(UNSCORED)), ["query_id"], [F.asc("rank"), F.asc("doc_id")], 2**31 - 1, "rerank_rank")
+    p = packed.join(questions.select("query_id", "question"), "query_id").select("query_id", "doc_id", F.concat("doc_id", F.lit("_pack")).alias("chunk_id"), score(F.col("question"), F.col("pack")).alias("pair_score"))
+    return reranked(candidates, by_document(p), top_k)
+
+
 def rerank_texts(candidates: DataFrame, question: str, passage: str, top_k: int, score=shared_words) -> DataFrame:
     """Candidates by the score of the question with the first 1,000 characters of their text; ``final_rank`` from 1."""
     r = candidates.withColumn("reranker_score", score(F.col(question), F.left(X.text(F.col(passage)), F.lit(1000))))

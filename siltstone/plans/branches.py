@@ -12,8 +12,9 @@ from siltstone.plans import sqlparts as P
 from siltstone.plans.retrieval import rolled
 from siltstone.sources import canonical as C
 from siltstone.sources.tables import table
+from siltstone.storage import new_path
 
-TOP_K = 10
+TOP_K, DENSE = 10, 0.8
 
 
 def _queries(s, d):
@@ -97,6 +98,42 @@ def r14_votes(s, d):
     return got.select("query_id", "doc_id", F.round("score", 5).alias("score"), F.round("lexical_similarity", 5).alias("lexical_similarity"), "vote_count", "matched_id", F.round("positive_frequency", 8).alias("positive_frequency"), "rank")
 
 
+def _both_arms(s, d):
+    """Question memory by n-grams or by vectors; hashed n-grams of the question stand for an encoder."""
+    q, train, rel = _memory(s, d)
+    v = lambda df: V.dense_rows(V.hashed_vectors(df.select(F.col("query_id").alias("id"), X.folded(F.col("text")).alias("text"))))
+    return M.both_arms(M.similar(q, train, 0.5), v(q), v(train), DENSE), train, rel
+
+
+def j08_both_arms(s, d):
+    return _both_arms(s, d)[0].select("query_id", "train_id", F.round("lexical", 5).alias("lexical"), F.round("dense", 5).alias("dense"))
+
+
+def r14_both_arms(s, d):
+    pairs, train, rel = _both_arms(s, d)
+    got = M.votes(pairs, rel, train.count(), TOP_K)
+    return got.select("query_id", "doc_id", F.round("score", 5).alias("score"), F.round("lexical_similarity", 5).alias("lexical_similarity"), F.round("dense_similarity", 5).alias("dense_similarity"), "vote_count", "rank")
+
+
+def s13_stored_memory(s, d):
+    """Similar questions from a memory that was stored and read again."""
+    q, train, _ = _memory(s, d)
+    path = new_path(s, "memory")
+    M.save(train, path)
+    return M.similar(q, None, 0.5, M.load(s, path)).select("query_id", "train_id", F.round("lexical", 5).alias("lexical"))
+
+
+def r07_encoded(s, d):
+    """Vectors of an encoder over batches of texts; this one knows a text's length and its blanks."""
+    texts = C.docs(s, d).select(F.col("doc_id").alias("id"), F.coalesce("title", F.lit("")).alias("text"))
+    return V.encoded(texts, lambda batch: [[len(t), t.count(" ")] for t in batch]).select("id", F.round(F.get("v", F.lit(0)), 6).alias("x"), F.round(F.get("v", F.lit(1)), 6).alias("y"))
+
+
+def r12_exact_ranks(s, d):
+    """The exact branch as a ranked list: at most ten documents a question by seed or composite score."""
+    return E.match(_asked(s, d), C.docs(s, d), C.chunks(s, d), TOP_K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 def r15_memory_rows(s, d):
     _, train, rel = _memory(s, d)
     return train.join(rel, "query_id").select("query_id", "doc_id")
@@ -105,6 +142,7 @@ def r15_memory_rows(s, d):
 QUERIES = {
     "j07_vector_join": j07_vector_join, "r08_dense": r08_dense, "r09_hashed_vectors": r09_hashed_vectors, "r10_number_index": r10_number_index, "r10_title_index": r10_title_index,
     "j04_titles_inside": j04_titles_inside, "j06_numbers": j06_numbers, "r11_exact": r11_exact, "r13_gram_weights": r13_gram_weights, "j08_similar_questions": j08_similar_questions, "r14_votes": r14_votes, "r15_memory_rows": r15_memory_rows,
+    "j08_both_arms": j08_both_arms, "r14_both_arms": r14_both_arms, "s13_stored_memory": s13_stored_memory, "r07_encoded": r07_encoded, "r12_exact_ranks": r12_exact_ranks,
 }
 
 _NEAR = """WITH u AS MATERIALIZED (SELECT vec_id, CAST(vec_id AS VARCHAR) AS id, CAST(vec_id // 10 AS VARCHAR) AS doc_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
@@ -126,6 +164,11 @@ _TFIDF = f"""{P.with_tables('qs', 'rels')},
   tw AS (SELECT query_id, g, (1 + ln(tf)) * idf AS w FROM tf JOIN df USING (g)), qw AS (SELECT query_id, g, (1 + ln(tf)) * idf AS w FROM qtf JOIN df USING (g)),
   tv AS MATERIALIZED (SELECT query_id, g, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS w FROM tw), qv AS MATERIALIZED (SELECT query_id, g, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS w FROM qw),
   sim AS MATERIALIZED (SELECT q.query_id AS query_id, t.query_id AS train_id, sum(q.w * t.w) AS lexical FROM qv q JOIN tv t USING (g) WHERE q.query_id <> t.query_id GROUP BY ALL HAVING sum(q.w * t.w) >= 0.5 - 1e-9)"""
+_DENSE = f"""{_TFIDF}, hx AS (SELECT query_id AS id, text AS x, 't' AS part FROM train UNION ALL SELECT query_id, text, 'q' FROM sq),
+  hg AS (SELECT part, id, unnest(flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, length(x) - n + 2), lambda i: substr(x, i, n))))) AS g FROM hx),
+  hc AS (SELECT part, id, CAST(('0x' || left(md5(g), 2)) AS INT) AS bucket, count(*) AS n FROM hg GROUP BY ALL), hv AS MATERIALIZED (SELECT part, id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY part, id)) AS w FROM hc),
+  dn AS (SELECT a.id AS query_id, b.id AS train_id, sum(a.w * b.w) AS dense FROM hv a JOIN hv b ON a.part = 'q' AND b.part = 't' AND a.bucket = b.bucket AND a.id <> b.id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.8 - 1e-9),
+  arms AS MATERIALIZED (SELECT query_id, train_id, lexical, dense FROM sim FULL JOIN dn USING (query_id, train_id))"""
 _YEARLESS = lambda x: P.trim_white(P.rep(x, rf"(^|[^\p{{L}}\p{{N}}_])(19[89]\d|20[012]\d)\b", r"\1"))
 _TITLES = f"""tt AS (SELECT doc_id, coalesce(nullif(title, ''), name_raw) AS t FROM docs),
   forms AS (SELECT doc_id, {P.folded('t')} AS title, false AS bare FROM tt UNION ALL SELECT doc_id, {P.unaccented('t')}, true FROM tt),
@@ -180,5 +223,13 @@ SQL = {
       FROM sim s JOIN rels r ON r.query_id = s.train_id, nn GROUP BY s.query_id, doc_id)
       SELECT query_id, doc_id, round(score, 5) AS score, round(lexical_similarity, 5) AS lexical_similarity, vote_count, matched_id, round(positive_frequency, 8) AS positive_frequency, rank
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM v) WHERE rank <= {TOP_K}""",
+    "j08_both_arms": f"{_DENSE} SELECT query_id, train_id, round(lexical, 5) AS lexical, round(dense, 5) AS dense FROM arms",
+    "r14_both_arms": f"""{_DENSE}, v AS (SELECT s.query_id, doc_id, sum(coalesce(lexical, 0) + coalesce(dense, 0)) AS score, max(coalesce(lexical, 0)) AS lexical_similarity, max(coalesce(dense, 0)) AS dense_similarity, count(*) AS vote_count FROM arms s JOIN rels r ON r.query_id = s.train_id GROUP BY s.query_id, doc_id)
+      SELECT query_id, doc_id, round(score, 5) AS score, round(lexical_similarity, 5) AS lexical_similarity, round(dense_similarity, 5) AS dense_similarity, vote_count, rank
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM v) WHERE rank <= {TOP_K}""",
+    "s13_stored_memory": f"{_TFIDF} SELECT query_id, train_id, round(lexical, 5) AS lexical FROM sim",
+    "r07_encoded": f"""{P.with_tables('docs')}, t AS (SELECT doc_id AS id, length(coalesce(title, ''))::DOUBLE AS a, (length(coalesce(title, '')) - length(replace(coalesce(title, ''), ' ', '')))::DOUBLE AS b FROM docs)
+      SELECT id, round(coalesce(a / nullif(sqrt(a * a + b * b), 0), 0), 6) AS x, round(coalesce(b / nullif(sqrt(a * a + b * b), 0), 0), 6) AS y FROM t""",
+    "r12_exact_ranks": f"{_EXACT} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= {TOP_K}",
     "r15_memory_rows": f"{P.with_tables('qs', 'rels')} SELECT query_id, doc_id FROM rels WHERE query_id IN (SELECT query_id FROM qs)",
 }

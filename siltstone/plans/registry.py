@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import branches, evaluation, evidence, integrity, pipeline, relational, retrieval, sources, streams, structure, texts
+from siltstone.plans import branches, evaluation, evidence, integrity, pipeline, relational, retrieval, sources, stored, streams, structure, texts
 
-MODULES = [integrity, texts, structure, retrieval, branches, evidence, evaluation, relational, sources, pipeline, streams]
+MODULES = [integrity, texts, structure, retrieval, branches, evidence, evaluation, relational, sources, stored, pipeline, streams]
 
 
 def queries() -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
@@ -9,6 +10,8 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +73,19 @@ def existing(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[c for c in columns if c in df.columns])
 
 
+def column_batches(df: DataFrame, column: str, batch: int) -> DataFrame:
+    """``n_rows, n_values, n_bytes`` of batches of at most ``batch`` rows of one text column; the scan reads no other column."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, batch):
+                x = whole.column(0).slice(k, batch)
+                n = pc.sum(pc.binary_length(x)).as_py() or 0
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (len(x), len(x) - x.null_count, n)], ["n_rows", "n_values", "n_bytes"])
+
+    return df.select(F.col(column).cast("string")).mapInArrow(work, "n_rows long, n_values long, n_bytes long")
+
+
 def footer_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """``path, n_rows, n_columns, n_row_groups, n_bytes`` of Parquet files from their footers alone."""
     paths = spark.read.parquet(folder).inputFiles()
@@ -106,11 +122,25 @@ def inventory_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame) -> str:
-    """sha256 over the sorted digests of an inventory; a file without digest is an error."""
-    rows = files.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "path", "sha256"))), "\n"), 256).alias("f"), F.count_if(F.col("sha256").isNull()).alias("bad")).first()
-    if rows["bad"]:
+    """sha256 over the sorted digests of an inventory; a file without digest is an error.
+
+    Files are hashed in up to 4096 buckets, so that no list of all files is built.
+    """
+    if files.filter("sha256 is null").limit(1).count():
         raise ValueError("a file has no digest")
-    return rows["f"]
+    line = F.concat_ws(":", "path", "sha256")
+    buckets = files.groupBy(F.substring(F.sha2("path", 256), 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("f"))
+    return hashlib.sha256("".join(r["f"] for r in buckets.orderBy("b").collect()).encode()).hexdigest()
+
+
+def seal(spark: SparkSession, folder: str, path: str) -> None:
+    """Store the inventory of a folder, by which ``broken_seal`` verifies it."""
+    inventory(spark, folder).write.parquet(path)
+
+
+def broken_seal(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """``path, change`` of files that are missing, new or changed since the seal; none for a sound bundle."""
+    return inventory_changes(spark.read.parquet(path), inventory(spark, folder))
 
 
 def to_df(spark: SparkSession, x, schema: str) -> DataFrame:
