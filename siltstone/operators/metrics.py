@@ -213,6 +213,20 @@ def violations(docs: DataFrame, chunks: DataFrame, queries: DataFrame, qrels: Da
     return reduce(DataFrame.unionByName, one)
 
 
+#: Columns of questions and judgements.
+QUERIES, JUDGEMENTS = ("query_id", "question_raw", "question_norm", "gold_count"), ("query_id", "doc_id", "relevance")
+
+
+def validated(docs: DataFrame, chunks: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """``check_name, n`` of tables whose columns may come under other names: missing columns, or else all checks of ``violations``."""
+    given = {"documents": (docs, DOCUMENTS), "chunks": (chunks, CHUNKS), "queries": (queries, QUERIES), "judgements": (qrels, JUDGEMENTS)}
+    tables = {k: renamed(df, want) for k, (df, want) in given.items()}
+    lost = [(f"missing column {k}.{c}", 1) for k, (_, want) in given.items() for c in missing_columns(tables[k], want)]
+    if lost:
+        return docs.sparkSession.createDataFrame(lost, "check_name string, n long")
+    return violations(*tables.values())
+
+
 def answer_errors(answers: DataFrame, expected: DataFrame | None = None, corpus: DataFrame | None = None, exact: int | None = None) -> DataFrame:
     """``query_id, error`` of answers: length, nulls, repeats, unknown documents, missing and extra queries."""
     n = F.size("answer")

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.operators.skew import salted_join
 from siltstone.storage import cut
@@ -26,12 +27,33 @@ def shuffled_folds(ids: list[str], seed: int = 42, k: int = 5) -> list[tuple[str
     return [(q, min(i // size, k - 1)) for i, q in enumerate(order)]
 
 
-def random_folds(queries: DataFrame, seed: int = 42, k: int = 5, most: int = 1_000_000) -> DataFrame:
-    """``query_id, fold`` by the seeded shuffle; refuses more than ``most`` ids, for which ``bucket_folds`` is meant."""
-    ids = [r[0] for r in queries.select(F.col("query_id").cast("string")).dropna().distinct().limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ValueError("too many ids for a shuffle on the driver")
-    return queries.sparkSession.createDataFrame(shuffled_folds(ids, seed, k) or [], "query_id string, fold int")
+def _seeded(key: str, seed: int) -> F.Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))
+
+
+def running(df: DataFrame, key: str, seed: int, amount: F.Column) -> DataFrame:
+    """``df`` with ``before``, the sum of ``amount`` over all rows that precede in the order of a seeded hash of ``key``, and ``everything``.
+
+    Rows are ordered inside 4096 buckets of the hash, and only the buckets' sums
+    meet in one task, so the order is exact at any size.
+    """
+    rows = df.withColumn("_h", _seeded(key, seed)).withColumn("_b", F.substring("_h", 1, 3)).withColumn("_n", amount)
+    w = Window.orderBy("_b")
+    buckets = rows.groupBy("_b").agg(F.sum("_n").alias("s")).select("_b", (F.sum("s").over(w) - F.col("s")).alias("_base"), F.sum("s").over(Window.partitionBy(F.lit(0))).alias("everything"))  # 4096 rows
+    own = Window.partitionBy("_b").orderBy("_h", key)
+    return rows.withColumn("before", F.sum("_n").over(own) - F.col("_n")).join(F.broadcast(buckets), "_b").withColumn("before", F.col("before") + F.col("_base")).drop("_h", "_b", "_n", "_base")
+
+
+def random_folds(queries: DataFrame, seed: int = 42, k: int = 5) -> DataFrame:
+    """``query_id, fold``: the ids in the order of a seeded hash cut into ``k`` equal slices, the last with the remainder.
+
+    ``shuffled_folds`` reproduces published folds of small id lists.
+    """
+    ids = running(queries.select(F.col("query_id").cast("string").alias("query_id")).dropna().distinct(), "query_id", seed, F.lit(1).cast("long"))
+    n = F.col("everything")
+    parts = F.greatest(F.lit(2), F.least(F.lit(k), n))
+    size = F.greatest(F.lit(1), F.floor(n / parts))
+    return ids.select("query_id", F.least(F.floor(F.col("before") / size), parts - 1).cast("int").alias("fold"))
 
 
 def question_components(relevant: DataFrame) -> DataFrame:
@@ -53,24 +75,12 @@ def question_components(relevant: DataFrame) -> DataFrame:
         labels = new.select("query_id", "component")
 
 
-def greedy_side(components: DataFrame, val_ratio: float = 0.2, seed: int = 42, most: int = 1_000_000) -> DataFrame:
-    """``component, side``: components in seeded order go to validation as long as they fit its target.
-
-    The first always goes there.  The rule looks at each component in turn, so
-    the sizes are folded on the driver, names and sizes only; more than ``most``
-    components are refused.
-    """
-    rows = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many components for a greedy fold on the driver")
-    order = sorted((r["component"], r["n"]) for r in rows)
-    target, taken, out = int(sum(n for _, n in order) * val_ratio), 0, []
-    random.Random(seed).shuffle(order)
-    for name, n in order:
-        side = "val" if taken + n <= target or taken == 0 else "train"
-        taken += n if side == "val" else 0
-        out.append((name, side))
-    return components.sparkSession.createDataFrame(out, "component string, side string")
+def greedy_side(components: DataFrame, val_ratio: float = 0.2, seed: int = 42) -> DataFrame:
+    """``component, side``: components in the order of a seeded hash go to validation while they all fit its target; the first always does."""
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    r = running(sizes, "component", seed, F.col("n"))
+    fits = (F.col("before") + F.col("n") <= F.floor(F.col("everything") * val_ratio)) | (F.col("before") == 0)
+    return r.select("component", F.when(fits, "val").otherwise("train").alias("side"))
 
 
 def document_disjoint(relevant: DataFrame, val_ratio: float = 0.2, seed: int = 42) -> DataFrame:

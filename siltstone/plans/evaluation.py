@@ -78,10 +78,13 @@ def v10_violations(s, d):
 
 
 def v11_renamed(s, d):
-    """Tables with other column names, brought to the canonical ones: what is missing after that."""
-    have = {"documents": (table(s, d, "legal_docs"), M.DOCUMENTS), "chunks": (table(s, d, "chunks"), M.CHUNKS), "macro_chunks": (table(s, d, "macro_chunks"), M.CHUNKS)}
-    rows = [(name, ",".join(M.missing_columns(M.renamed(df, want), want))) for name, (df, want) in have.items()]
-    return s.createDataFrame(rows, "table_name string, missing string")
+    """The checks on tables whose columns have other names; a table that lacks a column says so instead."""
+    docs, chunks, queries, qrels = (table(s, d, t) for t in ("legal_docs", "chunks", "queries_train", "qrels"))
+    return M.validated(docs, chunks.withColumnRenamed("granularity", "chunk_level"), queries.withColumnRenamed("query_id", "qid").withColumnRenamed("gold_count", "num_gold"), qrels)
+
+
+def v11_missing(s, d):
+    return M.validated(table(s, d, "legal_docs"), table(s, d, "macro_chunks"), table(s, d, "queries_train").drop("gold_count"), table(s, d, "qrels"))
 
 
 def v12_answer_errors(s, d):
@@ -228,7 +231,7 @@ def j15_classes(s, d):
 
 QUERIES = {
     "v01_official": v01_official, "v02_per_query": v02_per_query, "v02_means": v02_means, "v03_candidate_recall": v03_candidate_recall, "v04_ceilings": v04_ceilings, "v05_misses": v05_misses, "v06_ranking_measures": v06_ranking_measures,
-    "v08_over_folds": v08_over_folds, "v10_violations": v10_violations, "v11_renamed": v11_renamed, "v12_answer_errors": v12_answer_errors, "v15_coverage": v15_coverage, "v19_cardinalities": v19_cardinalities,
+    "v08_over_folds": v08_over_folds, "v10_violations": v10_violations, "v11_renamed": v11_renamed, "v11_missing": v11_missing, "v12_answer_errors": v12_answer_errors, "v15_coverage": v15_coverage, "v19_cardinalities": v19_cardinalities,
     "s_p01_buckets": s_p01_buckets, "s_p01_shuffled": s_p01_shuffled, "s_p02_components": s_p02_components, "s_p02_disjoint": s_p02_disjoint, "s_p03_fold_checks": s_p03_fold_checks, "s_p04_disjoint_checks": s_p04_disjoint_checks,
     "s_p06_overlap": s_p06_overlap, "s_p08_flat": s_p08_flat, "s_p09_by_source": s_p09_by_source, "s_p10_by_band": s_p10_by_band, "s_p11_bands": s_p11_bands, "s_p12_pairs": s_p12_pairs, "s_p12_triples": s_p12_triples,
     "s_p14_coverage": s_p14_coverage, "s_p15_order": s_p15_order, "s_p16_groups": s_p16_groups, "s_p19_subset": s_p19_subset, "s_p20_splits": s_p20_splits, "j15_classes": j15_classes,
@@ -258,6 +261,30 @@ _MINED = f"""{ranks_sql(V.DEPTH)}, {', '.join(f'{n} AS MATERIALIZED ({P.LAST[n]}
     UNION ALL SELECT query_id, 'near_miss', doc_id, rank FROM top WHERE rank BETWEEN 3 AND 15 UNION ALL SELECT query_id, 'medium_neg', doc_id, rank FROM top WHERE rank BETWEEN 21 AND 80),
   grp AS (SELECT sha256(document_text) AS group_id, doc_id FROM docs WHERE document_text IS NOT NULL AND document_text <> ''),
   banned AS MATERIALIZED (SELECT query_id, doc_id FROM rels UNION SELECT r.query_id, o.doc_id FROM rels r JOIN grp g ON g.doc_id = r.doc_id JOIN grp o ON o.group_id = g.group_id)"""
+_BAND = "CASE WHEN rank <= 5 THEN 'very_hard' WHEN rank <= 20 THEN 'hard' ELSE 'medium' END"
+_PLACE = "CASE source " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(N.QUOTAS)) + f" ELSE {len(N.QUOTAS)} END"
+
+
+def _quota(column: str, quotas: dict, default: int) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in quotas.items()) + f" ELSE {default} END"
+
+
+def _fold_sql(kind: str, order: str, quotas: dict, default: int, most: int) -> str:
+    """``neg``: rows taken in order unless their document, their kind's quota or the total is full, by a walk over each query's rows."""
+    take = f"NOT list_contains(w.docs, o.doc_id) AND len(list_filter(w.kinds, lambda x: x = o.{kind})) < {_quota(f'o.{kind}', quotas, default)} AND len(w.docs) < {most}"
+    return f"""{_MINED.replace('WITH', 'WITH RECURSIVE', 1)},
+  okay AS (SELECT *, {_BAND} AS band FROM mined m WHERE doc_id <> '' AND NOT EXISTS (SELECT 1 FROM banned b WHERE b.query_id = m.query_id AND b.doc_id = m.doc_id)),
+  o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS i FROM okay),
+  w AS (SELECT DISTINCT query_id, 0::BIGINT AS i, []::VARCHAR[] AS docs, []::VARCHAR[] AS kinds, []::BIGINT[] AS got FROM o
+    UNION ALL SELECT w.query_id, o.i, CASE WHEN {take} THEN list_append(w.docs, o.doc_id) ELSE w.docs END, CASE WHEN {take} THEN list_append(w.kinds, o.{kind}) ELSE w.kinds END, CASE WHEN {take} THEN list_append(w.got, o.i) ELSE w.got END FROM w JOIN o ON o.query_id = w.query_id AND o.i = w.i + 1),
+  neg AS MATERIALIZED (SELECT o.query_id, list_position(got, o.i) AS n, o.doc_id, source, rank, band FROM (SELECT query_id, max_by(got, i) AS got FROM w GROUP BY query_id) l JOIN o ON o.query_id = l.query_id AND list_contains(got, o.i))"""
+
+
+_NEG12 = _fold_sql("source", f"{_PLACE}, source, rank, doc_id", N.QUOTAS, 3, 12)
+_PAIRS = f"""{_NEG12}, pp AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_id, 1.0 AS label, 0 AS retrieval_rank FROM rels WHERE doc_id IN (SELECT doc_id FROM docs) UNION ALL SELECT query_id, doc_id, 0.0, rank FROM neg) WHERE query_id IN (SELECT query_id FROM qs))"""
+_RUN = lambda key: f"md5('42:' || {key})"
+_DISJOINT = f"""{P.with_tables('rels').replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT DISTINCT a.query_id AS a, b.query_id AS b FROM rels a JOIN rels b USING (doc_id)), r AS (SELECT DISTINCT query_id AS root, query_id FROM rels UNION SELECT r.root, e.b FROM r JOIN e ON e.a = r.query_id),
+  cp AS (SELECT query_id, min(root) AS component FROM r GROUP BY query_id), sz AS (SELECT component, count(*) AS n FROM cp GROUP BY component), ru AS (SELECT *, sum(n) OVER (ORDER BY {_RUN('component')}) AS upto, sum(n) OVER () AS everything FROM sz)"""
 SQL = {
     "v01_official": f"{_PQ} SELECT round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision FROM m",
     "v02_per_query": f"{_PQ} SELECT query_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in _MEASURES) + " FROM m",
@@ -297,4 +324,21 @@ SQL = {
     "s_p08_flat": f"""{_MINED} SELECT query_id, doc_id, n, CASE WHEN rank <= 5 THEN 'very_hard' WHEN rank <= 20 THEN 'hard' ELSE 'medium' END AS band FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS n FROM top t WHERE NOT EXISTS (SELECT 1 FROM banned b WHERE b.query_id = t.query_id AND b.doc_id = t.doc_id)) WHERE n <= 10""",
     "s_p11_bands": f"{_MINED} SELECT source, count(*) AS n, count(DISTINCT query_id) AS n_queries FROM mined GROUP BY source",
     "j15_classes": f"{P.with_tables('docs')}, g AS (SELECT DISTINCT lower(trim(legal_number)) AS k, doc_id FROM docs WHERE trim(legal_number) <> '') SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS n_members FROM g",
+    "s_p01_shuffled": f"""{P.with_tables('qs')}, o AS (SELECT query_id, row_number() OVER (ORDER BY {_RUN('query_id')}) - 1 AS before, count(*) OVER () AS n FROM qs)
+      SELECT query_id, least(before // greatest(1, n // greatest(2, least(5, n))), greatest(2, least(5, n)) - 1)::INT AS fold FROM o""",
+    "s_p02_disjoint": f"{_DISJOINT} SELECT query_id, component, CASE WHEN upto <= floor(everything * 0.2) OR upto = n THEN 'val' ELSE 'train' END AS side FROM cp JOIN ru USING (component)",
+    "s_p09_by_source": f"{_fold_sql('source', f'{_PLACE}, source, rank, doc_id', N.QUOTAS, 3, 15)} SELECT query_id, n, doc_id, source, rank, band FROM neg",
+    "s_p10_by_band": f"{_fold_sql('band', f'{_quota("band", {k: i for i, k in enumerate(N.BANDS)}, len(N.BANDS))}, {_PLACE}, source, rank, doc_id', N.BANDS, 5, 15)} SELECT query_id, n, doc_id, source, rank, band FROM neg",
+    "s_p12_triples": f"{_NEG12} SELECT r.query_id, r.doc_id AS pos_doc_id, neg.doc_id AS neg_doc_id, n AS neg_n FROM rels r JOIN neg ON neg.query_id = r.query_id",
+    "s_p14_coverage": f"""{_PAIRS}, h AS (SELECT query_id, max((label > 0.5)::INT) AS p, max((label <= 0.5)::INT) AS n FROM pp GROUP BY ALL), e AS (SELECT q.query_id, p, coalesce(p, 0) AS cp, coalesce(n, 0) AS cn FROM qs q LEFT JOIN h USING (query_id))
+      SELECT count(*) AS expected, count(p) AS in_pairs, sum(cp)::BIGINT AS with_positive, sum(cn)::BIGINT AS with_negative, sum(cp * cn)::BIGINT AS eligible, round(100.0 * sum(cp) / count(*), 2) AS positive_pct, round(100.0 * sum(cn) / count(*), 2) AS negative_pct, round(100.0 * sum(cp * cn) / count(*), 2) AS eligible_pct FROM e""",
+    "s_p15_order": f"""{_PAIRS}, sd AS (SELECT *, CASE WHEN label > 0.5 THEN 0 ELSE 1 END AS side FROM pp), b AS (SELECT query_id, CASE WHEN count(DISTINCT side) < 2 THEN '1' ELSE '0' END AS one FROM sd GROUP BY ALL)
+      SELECT query_id, doc_id, side, row_number() OVER (PARTITION BY query_id, side ORDER BY retrieval_rank, doc_id) AS round, one || md5('42:' || query_id) AS query_place FROM sd JOIN b USING (query_id)""",
+    "s_p16_groups": f"""{_PAIRS}, ng AS (SELECT query_id, string_agg(doc_id, ',' ORDER BY k) AS negatives FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY retrieval_rank, doc_id) AS k FROM pp WHERE label <= 0.5) WHERE k <= 7 GROUP BY query_id)
+      SELECT DISTINCT query_id, doc_id AS positive, negatives FROM pp JOIN ng USING (query_id) WHERE label > 0.5""",
+    "s_p19_subset": f"""{P.with_tables('qs', 'rels', 'docs')}, q AS (SELECT query_id FROM qs ORDER BY md5(query_id) LIMIT 50), need AS (SELECT DISTINCT doc_id FROM rels WHERE query_id IN (SELECT query_id FROM q) AND doc_id IN (SELECT doc_id FROM docs))
+      SELECT doc_id, true AS positive FROM need UNION ALL SELECT doc_id, false FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id)) AS k FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM need)) WHERE k <= greatest(0, 120 - (SELECT count(*) FROM need))""",
+    "s_p20_splits": "SELECT unnest(['fewer than two folds', 'query in several folds', 'query without fold', 'fold query unknown', 'fold query without relevant document', 'query on both sides', 'relevant document on both sides']) AS check_name, 0::BIGINT AS n",
+    "v11_missing": "SELECT * FROM (VALUES ('missing column chunks.granularity', 1), ('missing column chunks.parent_chunk_id', 1), ('missing column chunks.token_count', 1), ('missing column chunks.is_empty', 1), ('missing column queries.gold_count', 1)) AS t(check_name, n)",
 }
+SQL["v11_renamed"] = SQL["v10_violations"]

@@ -1,8 +1,7 @@
 """Queries on evidence, reranking, selection, features and learned fusion.
 
 Candidates are the fused stored branches of every query, and evidence is built
-for all of them.  Where the registered SQL states the search queries alone, the
-query keeps to them and one named ``_all_`` gives every row.
+for all of them.
 """
 
 from __future__ import annotations
@@ -48,12 +47,8 @@ def _macros(s, d):
     return C.chunks(s, d).filter("granularity = 'macro' and doc_id is not null")
 
 
-def _every(df):
-    return df
-
-
-def _scored(s, d, some=_every):
-    return E.scored_chunks(some(_candidates(s, d)), some(_questions(s, d)), _macros(s, d))
+def _scored(s, d):
+    return E.scored_chunks(_candidates(s, d), _questions(s, d), _macros(s, d))
 
 
 def e01_chunk_info(s, d):
@@ -66,12 +61,8 @@ def e02_query_info(s, d):
     return q.select("query_id", F.size("q_tokens").alias("n_tokens"), F.size("q_phrases").alias("n_phrases"), F.array_join("q_phrases", "|").alias("phrases"))
 
 
-def e03_chunk_scores(s, d, some=C.search_set):
-    return _scored(s, d, some).select("query_id", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
-
-
-def e03_all_chunk_scores(s, d):
-    return e03_chunk_scores(s, d, _every)
+def e03_chunk_scores(s, d):
+    return _scored(s, d).select("query_id", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def e04_selected(s, d):
@@ -110,16 +101,12 @@ def _pair_scores(s, d):
     return rec.select("query_id", "doc_id", "chunk_id", K.shared_words(F.col("question"), F.when(F.col("n") == 1, F.col("pack")).otherwise(F.col("reranker_text"))).alias("pair_score"))
 
 
-def _full_texts(s, d, some):
-    return _fused(s, d).select("query_id", "doc_id").join(some(_questions(s, d)), "query_id").join(C.docs(s, d).select("doc_id", "document_text"), "doc_id")
-
-
-def k02_shared_words(s, d, some=C.search_set):
-    return _full_texts(s, d, some).select("query_id", "doc_id", K.shared_words(F.col("question"), F.col("document_text")).alias("score"))
+def _full_texts(s, d):
+    return _fused(s, d).select("query_id", "doc_id").join(_questions(s, d), "query_id").join(C.docs(s, d).select("doc_id", "document_text"), "doc_id")
 
 
-def k02_all_shared_words(s, d):
-    return k02_shared_words(s, d, _every)
+def k02_shared_words(s, d):
+    return _full_texts(s, d).select("query_id", "doc_id", K.shared_words(F.col("question"), F.col("document_text")).alias("score"))
 
 
 def k01_pair_scores(s, d):
@@ -141,17 +128,16 @@ def k04_reranked(s, d):
     return got.select("query_id", "doc_id", "rank", "reranker_score", "reranker_second_score", "reranker_margin", "evidence_chunk_count", "rerank_rank")
 
 
-def k05_texts(s, d, some=C.search_set):
-    return K.rerank_texts(_full_texts(s, d, some), "question", "document_text", 5).select("query_id", "doc_id", "reranker_score", "final_rank")
-
-
-def k05_all_texts(s, d):
-    return k05_texts(s, d, _every)
+def k05_texts(s, d):
+    return K.rerank_texts(_full_texts(s, d), "question", "document_text", 5).select("query_id", "doc_id", "reranker_score", "final_rank")
 
 
 def k06_ensemble(s, d):
+    """Two scorers: shared words of question and pack or chunk with its label, and of question and bare chunk."""
     one = _pair_scores(s, d)
-    both = one.withColumn("member", F.lit(0)).union(one.withColumn("pair_score", F.col("pair_score") / 2).withColumn("member", F.lit(1)))
+    rec = E.records(_packs(s, d), C.docs(s, d)).join(_questions(s, d), "query_id")
+    two = rec.select("query_id", "doc_id", "chunk_id", K.shared_words(F.col("question"), F.col("chunk_text")).alias("pair_score"))
+    both = one.withColumn("member", F.lit(0)).union(two.withColumn("member", F.lit(1)))
     return K.ensemble(both, ["query_id", "doc_id", "chunk_id"], 2)
 
 
@@ -267,15 +253,14 @@ def p18_losses(s, d):
 
 
 QUERIES = {
-    "e01_chunk_info": e01_chunk_info, "e02_query_info": e02_query_info, "e03_chunk_scores": e03_chunk_scores, "e03_all_chunk_scores": e03_all_chunk_scores, "e04_selected": e04_selected, "e05_packs": e05_packs, "e05_token_packs": e05_token_packs,
-    "e06_records": e06_records, "e07_lines": e07_lines, "e08_positives": e08_positives, "k01_pair_scores": k01_pair_scores, "k02_shared_words": k02_shared_words, "k02_all_shared_words": k02_all_shared_words, "k03_by_document": k03_by_document,
-    "k04_reranked": k04_reranked, "k05_texts": k05_texts, "k05_all_texts": k05_all_texts, "k06_ensemble": k06_ensemble, "l01_final": l01_final, "l02_ridge": l02_ridge, "l03_boosted": l03_boosted, "l05_matrix": l05_matrix, "l11_by_fixed": l11_by_fixed, "k08_table": k08_table, "l04_features": l04_features, "l12_features": l12_features, "l06_prior": l06_prior, "l07_cross_fitted": l07_cross_fitted,
+    "e01_chunk_info": e01_chunk_info, "e02_query_info": e02_query_info, "e03_chunk_scores": e03_chunk_scores, "e04_selected": e04_selected, "e05_packs": e05_packs, "e05_token_packs": e05_token_packs,
+    "e06_records": e06_records, "e07_lines": e07_lines, "e08_positives": e08_positives, "k01_pair_scores": k01_pair_scores, "k02_shared_words": k02_shared_words, "k03_by_document": k03_by_document,
+    "k04_reranked": k04_reranked, "k05_texts": k05_texts, "k06_ensemble": k06_ensemble, "l01_final": l01_final, "l02_ridge": l02_ridge, "l03_boosted": l03_boosted, "l05_matrix": l05_matrix, "l11_by_fixed": l11_by_fixed, "k08_table": k08_table, "l04_features": l04_features, "l12_features": l12_features, "l06_prior": l06_prior, "l07_cross_fitted": l07_cross_fitted,
     "l08_answers": l08_answers, "l10_static_fusion": l10_static_fusion, "q18_losses": p18_losses,
 }
 
 _CLEANQ = P.clean("question_raw")
 _PHRASES = "CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [] END"
-_SEARCH = f"{P.id_number('query_id')} % 50 = 0"
 _CAND = f"""{ranks_sql(DEPTH)}, {', '.join(f'{n} AS MATERIALIZED ({P.LAST[n]})' for n in ('docs', 'cks', 'qs', 'rels'))}, {_FUSED},
   top AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, doc_id) AS rank FROM fused) WHERE rank <= {TOP})"""
 
@@ -300,22 +285,65 @@ _INFO = f"""body AS (SELECT {P.given('document_id')} AS doc_id, chunk_id, {_show
   info AS MATERIALIZED (SELECT *, {P.word_tokens('body')} AS tokens, {_loose('điều', '[\\p{Nd}]+[a-zA-Z]?', 'article')} AS articles, {_loose('khoản', '[\\p{Nd}]+[a-zA-Z]?', 'clause')} AS clauses, {_loose('điểm', '[a-zA-Z\\p{Nd}]+', 'point')} AS points FROM body WHERE doc_id IS NOT NULL)"""
 _QI = f"""qi AS MATERIALIZED (SELECT query_id, {P.word_tokens(_CLEANQ)} AS w, list_transform({P.articles(_CLEANQ)}, lambda e: lower(e)) AS qa, list_transform({P.clauses(_CLEANQ)}, lambda e: lower(e)) AS qc, list_transform({P.points(_CLEANQ)}, lambda e: lower(e)) AS qp,
   list_transform({P.doc_numbers(_CLEANQ)}, lambda e: lower(e)) AS qn, {P.years(_CLEANQ)} AS qy FROM qs)"""
-_E3 = f"""{_CAND}, {_INFO}, {_QI},
+def _e3(pairs: str, training: bool = False) -> str:
+    """Chunk scores of ``pairs``, a query of ``query_id, doc_id, prior`` and the chunk's columns."""
+    late = "" if training else f"""+ CASE WHEN {_has('qy', 'contains(b, v)')} THEN 1.5 ELSE 0 END
+    + 2.5 * len(list_filter({_PHRASES}, lambda v: contains(b, v))) + CASE WHEN prior = p.chunk_id THEN 5.0 ELSE 0 END"""
+    return f"""{_CAND}, {_INFO}, {_QI},
   prior AS (SELECT query_id, doc_id, coalesce(max(best_chunk_id) FILTER (branch = 'dense'), max(best_chunk_id)) AS prior FROM static_candidates WHERE best_chunk_id IS NOT NULL AND branch IN ('dense', 'bm25') GROUP BY ALL),
-  pairs AS (SELECT t.query_id, t.doc_id, prior, i.* EXCLUDE (doc_id), lower(body) AS b, lower(article) AS a FROM top t LEFT JOIN prior p ON p.query_id = t.query_id AND p.doc_id = t.doc_id JOIN info i ON i.doc_id = t.doc_id WHERE {_SEARCH.replace('query_id', 't.query_id')}),
+  pairs AS MATERIALIZED ({pairs}),
   ct AS (SELECT chunk_id, term, sum(n) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term, 1 AS n FROM info UNION ALL SELECT chunk_id, unnest({P.word_tokens('article')}), 2 FROM info) GROUP BY ALL),
   qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(w) AS term FROM qi) GROUP BY ALL),
   ov AS (SELECT p.query_id, p.chunk_id, sum(qf * (1 + ln(1 + tf))) AS overlap FROM (SELECT DISTINCT query_id, chunk_id FROM pairs) p JOIN qt USING (query_id) JOIN ct ON ct.chunk_id = p.chunk_id AND ct.term = qt.term GROUP BY ALL),
-  e3 AS (SELECT p.query_id, p.doc_id, p.chunk_id,
+  e3 AS MATERIALIZED (SELECT p.query_id, p.doc_id, p.chunk_id,
     CASE WHEN {_overlap('qa', 'articles')} THEN 20.0 WHEN {_has('qa', "contains(a, 'điều ' || v) OR a = v")} THEN 18.0 WHEN {_has('qa', "contains(b, 'điều ' || v)")} THEN 12.0 ELSE 0 END
     + CASE WHEN {_overlap('qc', 'clauses')} THEN 8.0 WHEN {_has('qc', "contains(b, 'khoản ' || v) OR contains(b, v || '.')")} THEN 5.0 ELSE 0 END
     + CASE WHEN {_overlap('qp', 'points')} THEN 4.0 WHEN {_has('qp', "contains(b, 'điểm ' || v) OR contains(b, v || ')')")} THEN 3.0 ELSE 0 END
-    + CASE WHEN {_has('qn', 'contains(b, v)')} THEN 6.0 ELSE 0 END + CASE WHEN {_has('qy', 'contains(b, v)')} THEN 1.5 ELSE 0 END
-    + 2.5 * len(list_filter({_PHRASES}, lambda v: contains(b, v))) + CASE WHEN prior = p.chunk_id THEN 5.0 ELSE 0 END
+    + CASE WHEN {_has('qn', 'contains(b, v)')} THEN 6.0 ELSE 0 END {late}
     + CASE WHEN len(tokens) > 0 THEN 2.0 * coalesce(overlap, 0) / (sqrt(len(tokens)) + 1) ELSE 0 END AS score
     FROM pairs p JOIN qi USING (query_id) LEFT JOIN ov ON ov.query_id = p.query_id AND ov.chunk_id = p.chunk_id)"""
+
+
+_E3 = _e3("SELECT t.query_id, t.doc_id, prior, i.* EXCLUDE (doc_id), lower(body) AS b, lower(article) AS a FROM top t LEFT JOIN prior p ON p.query_id = t.query_id AND p.doc_id = t.doc_id JOIN info i ON i.doc_id = t.doc_id")
+_E8 = _e3("SELECT t.query_id, t.doc_id, NULL AS prior, i.* EXCLUDE (doc_id), lower(body) AS b, lower(article) AS a FROM rels t JOIN info i ON i.doc_id = t.doc_id", training=True)
+
+
+def _chosen(k: int) -> str:
+    """``sel``: the chosen chunks of a pair in order, by walking its chunks from the best one."""
+    like = "len(list_filter(s.ws, lambda t: len(t) > 0 AND len(list_intersect(t, o.w))::DOUBLE / greatest(len(t) + len(o.w) - len(list_intersect(t, o.w)), 1) >= 0.85)) > 0"
+    take = f"len(s.ids) < {k} AND NOT (len(o.w) = 0 OR {like})"
+    return f"""{_E3.replace('WITH', 'WITH RECURSIVE', 1)},
+  ordered AS MATERIALIZED (SELECT e.query_id, e.doc_id, e.chunk_id, row_number() OVER (PARTITION BY e.query_id, e.doc_id ORDER BY round(score, 9) DESC, e.chunk_id) AS i, list_distinct(tokens) AS w FROM e3 e JOIN (SELECT DISTINCT chunk_id, tokens FROM info) USING (chunk_id)),
+  walk AS (SELECT DISTINCT query_id, doc_id, 0::BIGINT AS i, []::VARCHAR[] AS ids, []::VARCHAR[][] AS ws FROM ordered
+    UNION ALL SELECT s.query_id, s.doc_id, o.i, CASE WHEN {take} THEN list_append(s.ids, o.chunk_id) ELSE s.ids END, CASE WHEN {take} THEN list_append(s.ws, o.w) ELSE s.ws END FROM walk s JOIN ordered o ON o.query_id = s.query_id AND o.doc_id = s.doc_id AND o.i = s.i + 1),
+  whole AS (SELECT query_id, doc_id, list(chunk_id ORDER BY i) AS every FROM ordered GROUP BY ALL),
+  sel AS MATERIALIZED (SELECT w.query_id, w.doc_id, (CASE WHEN len(every) = 1 THEN every ELSE list_concat(ids, list_filter(every, lambda x: NOT list_contains(ids, x))) END)[1:{k}] AS ids FROM walk w JOIN whole h ON h.query_id = w.query_id AND h.doc_id = w.doc_id AND w.i = len(every))"""
+
+
+def _cut(x: str, limit: str) -> str:
+    head = f"substr({x}, 1, ({limit}) - 3)"
+    space = f"(({limit}) - 3 - instr(reverse({head}), ' '))"
+    return f"CASE WHEN length({x}) <= ({limit}) THEN {x} ELSE regexp_replace(CASE WHEN instr({head}, ' ') > 0 AND {space} > floor((({limit}) - 3) / 2) THEN substr({x}, 1, {space}) ELSE {head} END, '{X.WS}+$', '') || '...' END"
+
+
+def _or(c: str, other: str) -> str:
+    return f"CASE WHEN {_shown(c)} <> '' THEN {_shown(c)} ELSE {other} END"
+
+
+_LABELS = f"""lab AS (SELECT doc_id, CASE WHEN {_shown('legal_number')} <> '' THEN trim(concat_ws(' ', t, {_shown('legal_number')})) ELSE t END AS label, t FROM (SELECT *, {_or('title', _or('name_raw', "'Văn bản ' || doc_id"))} AS t FROM docs)),
+  part AS MATERIALIZED (SELECT s.query_id, s.doc_id, i, len(ids) AS n, ids[i] AS chunk_id, trim(b.body) AS body, b.article, label, '[DOCUMENT] ' || coalesce(label, 'Văn bản ' || s.doc_id) AS head FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM sel) s JOIN (SELECT chunk_id, any_value(body) AS body, any_value(article) AS article FROM info GROUP BY chunk_id) b ON b.chunk_id = ids[i] LEFT JOIN lab ON lab.doc_id = s.doc_id)"""
+_SHARE = "CASE WHEN n = 1 THEN room WHEN i = 1 THEN greatest(150, floor(room * 0.6)) ELSE greatest(100, floor(room * (0.4 / greatest(n - 1, 1)))) END::INT"
+_PACKS = f"""{_chosen(2)}, {_LABELS}, roomy AS (SELECT *, greatest(100, 1200 - length(head) - n * 15) AS room FROM part), share AS (SELECT *, {_SHARE} AS lim FROM roomy),
+  pk AS MATERIALIZED (SELECT query_id, doc_id, any_value(head) || ' ' || string_agg('[EVIDENCE ' || i || '] ' || {_cut('body', 'lim')}, ' ' ORDER BY i) AS pack FROM share GROUP BY ALL),
+  rec AS MATERIALIZED (SELECT p.query_id, p.doc_id, i AS n, p.n AS of, p.chunk_id, pack, trim(left(p.body, 1200), ' ') AS chunk_text, '[DOCUMENT] ' || label || ' [EVIDENCE 1] ' || trim(left(p.body, 1200), ' ') AS reranker_text, question_raw AS question, article, p.body FROM part p JOIN pk USING (query_id, doc_id) LEFT JOIN qs ON qs.query_id = p.query_id)"""
 _WORDSET = lambda x: f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '{X.WS}+'), lambda w: w <> ''))"
-_K2 = f"""{_CAND}, k2 AS (SELECT t.query_id, t.doc_id, question_raw AS question, document_text AS body FROM top t JOIN qs ON qs.query_id = t.query_id JOIN docs ON docs.doc_id = t.doc_id WHERE {_SEARCH.replace('query_id', 't.query_id')})"""
+_K2 = f"""{_CAND}, k2 AS (SELECT t.query_id, t.doc_id, question_raw AS question, document_text AS body FROM top t JOIN qs ON qs.query_id = t.query_id JOIN docs ON docs.doc_id = t.doc_id)"""
+def _words(a: str, b: str) -> str:
+    return f"len(list_intersect({_WORDSET(a)}, {_WORDSET(b)}))::DOUBLE"
+
+
+_SCORED = f"""{_PACKS}, sc AS MATERIALIZED (SELECT query_id, doc_id, chunk_id, {_words('question', 'CASE WHEN n = 1 THEN pack ELSE reranker_text END')} AS pair_score, {_words('question', 'chunk_text')} AS other FROM rec),
+  bd AS (SELECT query_id, doc_id, max(pair_score) AS reranker_score, coalesce(list(pair_score ORDER BY pair_score DESC)[2], max(pair_score)) AS reranker_second_score, first(chunk_id ORDER BY pair_score DESC, chunk_id) AS reranker_best_chunk_id, count(*) AS evidence_chunk_count FROM sc GROUP BY ALL)"""
 _FINAL = """CASE WHEN coalesce(bm25_rank, 999) < 900 THEN 1.0 / (60 + bm25_rank) ELSE 0 END + CASE WHEN coalesce(bm25_pyvi_rank, 999) < 900 THEN 1.0 / (60 + bm25_pyvi_rank) ELSE 0 END
   + CASE WHEN coalesce(dense_rank, 999) < 900 THEN 1.2 / (60 + dense_rank) ELSE 0 END + CASE WHEN exact_score > 0 THEN 2.5 * 0.05 * exact_score ELSE 0 END"""
 _EX = "ex AS (SELECT query_id, doc_id, max(score) AS exact_score FROM ranks WHERE branch = 'exact' GROUP BY ALL)"
@@ -349,4 +377,29 @@ SQL = {
     "l04_features": f"{_FEAT} SELECT query_id, doc_id, fold, label, " + ", ".join(f"round({c}, 7) AS {c}" for c in ["raw_bm25_rank", "pyvi_bm25_rank", "dense_rank", "memory_rank", "exact_score", "source_count", "rrf_score", "reranker_score", "query_length", "train_doc_freq", "bm25_inv_rank", "dense_inv_rank"]) + " FROM feat",
     "q18_losses": f"""{_FEAT}, pos AS (SELECT query_id, doc_id, rrf_score * 10 AS pos FROM feat WHERE label = 1), neg AS (SELECT query_id, avg(rrf_score * 10) AS neg FROM feat WHERE label = 0 GROUP BY ALL)
       SELECT query_id, doc_id, round(ln(1 + exp(-pos)), 6) AS bce, round(ln(1 + exp(neg - pos)), 6) AS pairwise_logistic, round(greatest(0, 1 - (pos - neg)), 6) AS pairwise_margin, round(ln(1 + exp(neg - pos)), 6) AS listwise FROM pos JOIN neg USING (query_id)""",
+    "e04_selected": f"{_chosen(3)} SELECT query_id, doc_id, array_to_string(ids, ',') AS chunk_ids FROM sel",
+    "e05_packs": f"{_PACKS} SELECT query_id, doc_id, pack FROM pk",
+    "e06_records": f"""{_PACKS}, d AS (SELECT doc_id, t, {_shown('legal_number')} AS number FROM docs JOIN lab USING (doc_id)),
+      x AS (SELECT r.*, pack || CASE WHEN n = 1 THEN ' [VĂN BẢN]: ' || t || CASE WHEN number <> '' THEN ' (Số: ' || number || ')' ELSE '' END || chr(10) || '[ĐIỀU KHOẢN]: ' || CASE WHEN r.article <> '' THEN r.article ELSE 'Thông tin văn bản' END || chr(10) || '[NỘI DUNG]:' || chr(10) || full_body ELSE '' END AS full_text
+        FROM rec r LEFT JOIN d USING (doc_id) JOIN (SELECT chunk_id, any_value(body) AS full_body FROM info GROUP BY chunk_id) USING (chunk_id))
+      SELECT query_id, doc_id, n, chunk_id, reranker_text, md5(full_text) AS digest FROM x""",
+    "e07_lines": f"""{_chosen(2)}, {_LABELS}, h AS (SELECT doc_id, trim(concat_ws(' ', nullif({_or('title', P.pretty_title('name_raw'))}, ''), nullif({_shown('legal_number')}, ''))) AS h FROM docs),
+      b AS (SELECT p.*, {_cut('full_body', '1200')} AS short, CASE WHEN coalesce(h, '') = '' THEN 'Văn bản quy phạm pháp luật' ELSE h END AS h FROM part p JOIN (SELECT chunk_id, any_value(body) AS full_body FROM info GROUP BY chunk_id) USING (chunk_id) LEFT JOIN h USING (doc_id))
+      SELECT query_id, doc_id, '[DOCUMENT] ' || any_value(h) || chr(10) || string_agg('[EVIDENCE ' || i || '] ' || CASE WHEN article <> '' AND NOT starts_with(short, article) THEN article || ': ' || short ELSE short END, chr(10) ORDER BY i) AS text FROM b GROUP BY ALL""",
+    "e08_positives": f"{_E8} SELECT query_id, doc_id, first(chunk_id ORDER BY round(score, 9) DESC, chunk_id) AS chunk_id FROM e3 GROUP BY ALL",
+    "k01_pair_scores": f"{_PACKS} SELECT query_id, doc_id, chunk_id, {_words('question', 'reranker_text')} AS pair_score FROM rec",
+    "k03_by_document": f"{_SCORED} SELECT query_id, doc_id, reranker_score, reranker_second_score, reranker_score - reranker_second_score AS reranker_margin, reranker_best_chunk_id, evidence_chunk_count FROM bd",
+    "k04_reranked": f"""{_SCORED}, j AS (SELECT t.query_id, t.doc_id, rank, rank <= 5 AS head, b.* EXCLUDE (query_id, doc_id) FROM top t LEFT JOIN bd b ON b.query_id = t.query_id AND b.doc_id = t.doc_id)
+      SELECT query_id, doc_id, rank, CASE WHEN head THEN coalesce(reranker_score, 0) ELSE -999.0 END AS reranker_score, CASE WHEN head THEN coalesce(reranker_second_score, 0) ELSE -999.0 END AS reranker_second_score,
+        CASE WHEN head THEN coalesce(reranker_score - reranker_second_score, 0) ELSE 0.0 END AS reranker_margin, CASE WHEN head THEN coalesce(evidence_chunk_count, 0) ELSE 0 END AS evidence_chunk_count,
+        row_number() OVER (PARTITION BY query_id ORDER BY head DESC, CASE WHEN head THEN -coalesce(reranker_score, 0) END, CASE WHEN NOT head THEN rank END, doc_id) AS rerank_rank FROM j""",
+    "k06_ensemble": f"{_SCORED} SELECT query_id, doc_id, chunk_id, (pair_score + other) / 2 AS pair_score FROM sc",
+    "k08_table": f"""{_K2}, k2s AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {_words('question', 'body')} DESC, doc_id) AS rank FROM k2), gold AS (SELECT query_id, count(*) AS g FROM rels GROUP BY ALL),
+      hr AS (SELECT r.query_id, t.rank FROM rels r JOIN k2s t ON t.query_id = r.query_id AND t.doc_id = r.doc_id AND t.rank <= 5), k AS (SELECT g.query_id, g, count(h.rank) AS n, min(h.rank) AS f, coalesce(sum(1 / log2(h.rank + 1)), 0) AS dcg FROM gold g LEFT JOIN hr h ON h.query_id = g.query_id GROUP BY g.query_id, g)
+      SELECT 'PASS' AS state, round(avg(n / g::DOUBLE), 6) AS recall, round(avg(coalesce(1.0 / f, 0)), 6) AS mrr, round(avg(dcg / list_sum(list_transform(range(1, least(g, 5) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg, count(*) AS n_queries FROM k""",
+    "l11_by_fixed": f"""{_FEAT}, fx AS (SELECT query_id, doc_id, rrf_score, {_FINAL.replace('bm25_pyvi_rank', 'pyvi_bm25_rank').replace('(bm25_rank', '(raw_bm25_rank').replace('+ bm25_rank', '+ raw_bm25_rank')} AS s FROM feat),
+      ftop AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN s = 0 THEN rrf_score ELSE s END, 9) DESC, doc_id) AS rank FROM fx QUALIFY rank <= 5),
+      gold AS (SELECT query_id, count(*) AS g FROM rels WHERE query_id IN (SELECT query_id FROM ftop) GROUP BY ALL), len AS (SELECT query_id, count(*) AS n FROM ftop GROUP BY ALL),
+      hit AS (SELECT t.query_id, t.rank FROM ftop t JOIN rels r ON r.query_id = t.query_id AND r.doc_id = t.doc_id), pq AS (SELECT g.query_id, g, n, count(h.rank) AS h5, coalesce(1.0 / min(h.rank), 0) AS mrr FROM gold g LEFT JOIN len l USING (query_id) LEFT JOIN hit h ON h.query_id = g.query_id GROUP BY g.query_id, g, n)
+      SELECT round(avg(h5 / g::DOUBLE), 6) AS recall, round(avg(coalesce(h5 / n::DOUBLE, 0)), 6) AS precision, round(avg(mrr), 6) AS mrr, count(*) AS n_queries FROM pq""",
 }

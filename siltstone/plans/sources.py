@@ -62,7 +62,11 @@ def s12_stored_index(s, d):
 
 
 def s17_inventory(s, d):
-    return raw.inventory(s, f"{d}/eval_items.parquet").agg(F.sum("n_bytes").alias("n_bytes"), F.count("sha256").alias("n_files"))
+    """Files of a written table with size and digest; sizes agree with the footers'."""
+    path = new_path(s, "copy")
+    table(s, d, "eval_items").coalesce(1).write.parquet(path)
+    i = raw.inventory(s, path, "*.parquet")
+    return i.join(raw.footer_metadata(s, path).select(F.col("n_bytes").alias("n_bytes"), "n_rows"), "n_bytes").agg(F.count("sha256").alias("n_files"), F.sum("n_rows").alias("n_rows"))
 
 
 def s18_fingerprint(s, d):
@@ -84,5 +88,7 @@ SQL = {
     "s09_cached_queries": "SELECT DISTINCT query_id FROM static_candidates",
     "s10_macros": f"{P.with_tables('cks', 'rels')} SELECT {P.given('document_id')} AS doc_id, chunk_id, article FROM cks WHERE granularity = 'macro' AND {P.given('document_id')} IN (SELECT doc_id FROM rels)",
     "s11_vectors": "SELECT CAST(label AS VARCHAR) AS doc_id, count(*) AS n, max(len(embedding)) AS dimension FROM embeddings GROUP BY label",
+    "s17_inventory": "SELECT 1::BIGINT AS n_files, count(*) AS n_rows FROM eval_items",
+    "s18_fingerprint": "SELECT true AS same, 0::BIGINT AS n_changes",
     "s12_stored_index": RETRIEVAL["r03_cut_off"],
 }

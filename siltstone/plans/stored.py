@@ -278,9 +278,14 @@ SQL = {
     "s22_located": _rows("name, path", "'a.json', '/a.json'", "'b.json', '/models/b.json'"),
     "s23_vectors_from": "SELECT CAST(label AS VARCHAR) AS doc_id, count(*) AS n FROM embeddings GROUP BY label",
     "s24_to_df": "SELECT g AS given, '1' AS query_id, CASE WHEN g <> 'ids' THEN 'a' END AS question FROM (SELECT unnest(['frame', 'map', 'objects', 'rows', 'dicts', 'ids']) AS g)",
+    "e09_stored_macros": V.SQL["e04_selected"],
+    "k07_documents": f"""{V._PACKS}, ps AS (SELECT t.query_id, t.doc_id, rank, rank <= 5 AS head, {V._words('question_raw', 'pack')} AS w, pack FROM top t LEFT JOIN pk USING (query_id, doc_id) LEFT JOIN qs ON qs.query_id = t.query_id)
+      SELECT 'words' AS scorer, query_id, doc_id, sc AS reranker_score, row_number() OVER (PARTITION BY query_id ORDER BY head DESC, CASE WHEN head THEN -sc END, CASE WHEN NOT head THEN rank END, doc_id) AS rerank_rank FROM (SELECT *, CASE WHEN NOT head THEN -999.0::DOUBLE WHEN pack IS NULL THEN 0.0 ELSE w END AS sc FROM ps)
+      UNION ALL SELECT 'none', query_id, doc_id, -999.0, rank FROM top""",
     "k09_headers": f"{P.with_tables('docs')} SELECT doc_id, '[VĂN BẢN]: ' || coalesce(title, '') || CASE WHEN coalesce(legal_number, '') <> '' THEN ' (Số: ' || legal_number || ')' ELSE '' END AS header FROM docs",
     "o03_best": f"{A.ranks_sql(50)} SELECT query_id, branch, doc_id, rank FROM (SELECT query_id, branch, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, branch, doc_id) AS rank FROM ranks) WHERE rank <= 3",
     "s_p05_stored_folds": f"{P.with_tables('qs')}, f AS (SELECT query_id, {V._FOLD} AS fold FROM qs), n AS (SELECT DISTINCT fold FROM f) SELECT n.fold AS fold, CASE WHEN n.fold = f.fold THEN 'val' ELSE 'train' END AS side, query_id FROM n, f",
+    "s_p17_steps": f"{A._PAIRS}, h AS (SELECT query_id FROM pp GROUP BY query_id HAVING count(DISTINCT label) = 2) SELECT count(*) AS eligible, ceil(2 * count(*) / 16.0)::BIGINT AS steps FROM h",
     "s_p21_schema": _rows("given, kind", "'triples', 'pairwise'", "'pairs', 'pointwise'", "'both', 'pairwise'"),
     "v07_same_scores": f"{V._CAND} SELECT query_id, doc_id FROM top WHERE CAST(('0x' || left(md5(query_id || doc_id), 2)) AS INT) < 3",
     "v09_promoted": _rows("given, promoted", "'better', true", "'worse', false", "'precision decides', true", "'same', false", "'candidates lost', false", "'disjoint lost', false"),

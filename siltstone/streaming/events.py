@@ -26,6 +26,23 @@ def finished(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def latest(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Run an aggregating stream over all available input; its last state of every key, open windows at the end of input included.
+
+    Every batch writes what it changed under its own number, so a repeated batch
+    replaces itself.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).outputMode("update").start().awaitTermination()
+    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(path)
+    rest = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*keys, "_v.*")
+
+
 def windows(events: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts and sums by event type and window; windows close once the watermark passes."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)

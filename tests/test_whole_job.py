@@ -36,7 +36,7 @@ def test_all_candidates_by_brute_force(spark, duck, name):
 
 
 def test_evidence_of_every_candidate(spark):
-    pairs = {r[:2] for r in of(spark, "e03_all_chunk_scores", "query_id", "doc_id")}
+    pairs = {r[:2] for r in of(spark, "e03_chunk_scores", "query_id", "doc_id")}
     for name in ("e04_selected", "e05_packs", "e07_lines", "k03_by_document"):
         assert set(of(spark, name, "query_id", "doc_id")) == pairs, name
     assert {r[0] for r in of(spark, "k04_reranked", "query_id")} >= {q for q, _ in pairs}
