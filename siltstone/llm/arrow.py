@@ -7,17 +7,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches into slices whose ``column`` holds about ``limit`` bytes, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: str | list[str], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches into slices whose ``column``, or columns together, hold about ``limit`` bytes, one row at least."""
     import numpy as np
 
     for b in batches:
         if not b.num_rows:
             continue
-        x = b.column(b.schema.get_field_index(column))
         import pyarrow.compute as pc
 
-        ends = np.cumsum(pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype("int64"))
+        sizes = [pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(c))), 0).to_numpy(zero_copy_only=False).astype("int64") for c in ([column] if isinstance(column, str) else column)]
+        ends = np.cumsum(sum(sizes))
         at = 0
         while at < b.num_rows:
             base = ends[at - 1] if at else 0

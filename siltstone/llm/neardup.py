@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.arrow import slices
 from siltstone.llm.components import solve
-from siltstone.operators.skew import salted_join
+from siltstone.operators.skew import grid_join, salted_join
 from siltstone.storage import cut
 
 MISSED, REGISTERS, BROADCAST_IDS = 0.0015, 256, 200_000
@@ -271,7 +271,9 @@ def links(texts: DataFrame, words: int = 5, threshold: float = 0.8, min_words: i
     other = band.select("key", *[F.col(c).alias(c.replace("a", "b")) for c in band.columns[1:]])
     differ = sum((F.bit_count(F.col(f"xa{i}").bitwiseXOR(F.col(f"xb{i}"))) for i in range(len(sketched))), F.lit(0))
     alike = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (m - differ >= least_agreement(threshold, m))
-    near = band.join(other, "key").filter((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+    # A band that very many texts share is cut into a grid of tasks; keys alone, from the written signatures, tell which.
+    keys = first.select(F.explode("keys").alias("key"))
+    near = grid_join(band, other, ["key"], (["a"], ["b"]), seen=(keys, keys.limit(0))).filter((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
     pairs = cut(near, "candidates")
     chosen = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     ids = first.join(chosen, "c", "left_semi").groupBy("class_key").agg(F.min("id").alias("id")).select("id").distinct()
@@ -308,7 +310,10 @@ def pairs_of(link: DataFrame, members: DataFrame) -> DataFrame:
     members = cut(members, "members")
     m = members.select(F.col("class_key").alias("b"), F.col("id").alias("ib"))
     linked = link.select("a", "b").union(members.groupBy("class_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("class_key", "class_key"))
-    ids = linked.join(members.select(F.col("class_key").alias("a"), F.col("id").alias("ia")), "a").join(m, "b").filter("ia != ib")
+    own = members.select(F.col("class_key").alias("a"), F.col("id").alias("ia"))
+    one = salted_join(own, linked, ["a"], ["ia"], seen=members.select(F.col("class_key").alias("a")))
+    seen = members.select(F.col("class_key").alias("b"))
+    ids = grid_join(one, m, ["b"], (["ia"], ["ib"]), seen=(seen, seen)).filter("ia != ib")
     return ids.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
 
 

@@ -34,4 +34,11 @@ _FOUND = f"""
   dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
   found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))"""
 QUERIES = {"p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean}
-SQL = {"p8_found": f"{_FOUND} SELECT * FROM found", "p8_clean": f"{_FOUND} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)"}
+_MATCHES = f"""
+  WITH d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM eval_items),
+  ig AS (SELECT item_id, unnest(range(0, len(w) - 11)) AS q, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12),
+  dg AS (SELECT doc_id, unnest(range(0, len(w) - 11)) AS p, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+  hit AS (SELECT doc_id, item_id, p, q, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS run FROM dg JOIN ig USING (g)),
+  runs AS (SELECT doc_id, item_id, count(*) + 11 AS n_words, min(p) AS doc_word, min(q) AS item_word FROM hit GROUP BY doc_id, item_id, p - q, run)
+  SELECT doc_id, item_id, n_words, doc_word, item_word FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, doc_word, item_word) AS k FROM runs) WHERE k = 1"""
+SQL = {"p8_matches": _MATCHES, "p8_found": f"{_FOUND} SELECT * FROM found", "p8_clean": f"{_FOUND} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)"}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.chunking import split_oversized
-from siltstone.llm.lookalike import form_sql, look_alikes, same_form
+from siltstone.llm.lookalike import look_alikes, same_form
 from siltstone.sources.tables import table
 
 
@@ -39,7 +39,26 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p6_found": p6_found, "p6_forms": p6_forms}
 
 _WHITE = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_SAME = " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS field, chunk_id, {c} AS v, {form_sql(c)} AS form FROM macro_chunks" for c in ("text_raw", "text_norm"))
+
+# The common form once more, written for itself: what prints nothing by its Unicode class, full-width forms by their
+# distance, and letters of other scripts typed beside their Latin likes.
+_NOTHING = r"[\p{Cf}\x{0}-\x{8}\x{E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180D}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]+"
+_OTHER = {
+    "АВСЕНІЈКМОРЅТХҮԚԜԌ": "ABCEHIJKMOPSTXYQWG", "асеһіјорѕхуԁԛԝүѵӏ": "acehijopsxydqwyvl",
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX", "αορνϲϳ": "aopvcj", "ՕՍՏոսօհ": "OUSnuoh", "ɑɡ": "ag", "ÐƉ": "ĐĐ", "‐‑": "--",
+}
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+
+
+def _form(c: str) -> str:
+    x = f"regexp_replace({c}, '{_NOTHING}', '', 'g')"
+    pairs = {_WIDE: "".join(chr(ord(w) - 0xFEE0) for w in _WIDE), **_OTHER}
+    for k, v in pairs.items():
+        x = "translate(" + x + ", '" + k + "', '" + v.replace("'", "''") + "')"
+    return f"trim(regexp_replace(nfc_normalize({x}), '[{_WHITE}]+', ' ', 'g'))"
+
+
+_SAME = " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS field, chunk_id, {c} AS v, {_form(c)} AS form FROM macro_chunks" for c in ("text_raw", "text_norm"))
 SQL = {
     "p2_found": f"""
       SELECT DISTINCT 'macro_chunks' AS table_name, chunk_id AS item_id FROM macro_chunks WHERE len(regexp_extract_all(text, '[^{_WHITE}]+')) > 800

@@ -15,6 +15,12 @@ def test_form(given, want):
     assert duckdb.execute(f"SELECT {A.form_sql('c')} FROM (SELECT ?::VARCHAR AS c)", [given]).fetchone()[0] == want
 
 
+@pytest.mark.parametrize("given, want", [("𝐀𝒃𝟏", "Ab1"), ("ℎ", "h"), ("\u00b5", "\u03bc"), ("ᎠᎪ", "DA"), ("ᴄᴏᴠᴡᴢ", "covwz"), ("ⲞⲢ", "OP"), ("mười l1I0O", "mười l1I0O"), ("điều Ơ ư", "điều Ơ ư"), ("x² ³", "x² ³"), ("日本 한국 مرحبا", "日本 한국 مرحبا")])
+def test_public_rules(spark, given, want):
+    """Font variants and letters of the confusables data; Latin, Vietnamese and other scripts stay as they are."""
+    assert duckdb.execute(f"SELECT {A.form_sql('c', A.confusable_letters(spark))} FROM (SELECT ?::VARCHAR AS c)", [given]).fetchone()[0] == want
+
+
 def test_pairs(spark, rows):
     """Spellings against spellings, equal values unpaired, blanks and nulls out, repeated rows, an extra column of a clashing name."""
     data = [("1", "Điều 1", "x", 0), ("2", "Điều 1", "x ", 0), ("3", "Điều 1", None, 0), ("3", "Điều 1", None, 0), ("4", "điều 1", "​", 0), ("5", " ", " ", 0), ("6", "", "", 0), (None, "Ｄiều", "y", 0), ("7", None, "х", 0)]
