@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.operators.skew import salted_join
 from siltstone.operators.ranking import best, roll_up, steady
 from siltstone.storage import cut
 
@@ -34,9 +35,19 @@ class Index:
 
 
 def enriched(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Chunks with their document's title, number, link, year and kind (null without a document)."""
-    meta = docs.select("doc_id", "title", "legal_number", "link", "year", "doc_type")
-    return chunks.join(meta, "doc_id", "left")
+    """Chunks with their document's title, number, link, year and kind (null without a document).
+
+    A column that the chunks have already is kept unless it is null or blank in
+    every row; its name in another case counts as the same column.
+    """
+    names = ("title", "legal_number", "link", "year", "doc_type")
+    have = {c.lower(): c for c in chunks.columns}
+    given = {c: have[c] for c in names if c in have}
+    if given:
+        full = chunks.agg(*[F.max(F.trim(F.col(own).cast("string")) != "").alias(c) for c, own in given.items()]).first()
+        empty = [own for c, own in given.items() if not full[c]]
+        chunks, given = chunks.drop(*empty), {c: own for c, own in given.items() if full[c]}
+    return chunks.join(docs.select("doc_id", *[c for c in names if c not in given]), "doc_id", "left")
 
 
 def fields(tokens=X.legal_tokens) -> dict[str, Column]:
@@ -67,14 +78,18 @@ def scores(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> Data
     """``query_id, chunk_id, doc_id, raw_score`` of every chunk that shares a term with a query."""
     terms = cut(terms, "terms")
     # A bounded set of query terms goes to every task, so that a chunk's terms are summed where its postings lie;
-    # a larger one is joined by a shuffle on the term.
-    few = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda df: df
-    df = index.postings.join(few(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # a larger one is joined by a shuffle on the term, in which frequent terms are spread.
+    small = terms.count() <= BROADCAST_TERMS
+
+    def met(t: DataFrame, how: str) -> DataFrame:
+        return index.postings.join(F.broadcast(t), "term", how) if small else salted_join(index.postings, t, ["term"], ["chunk_id"], how)
+
+    df = met(terms.select("term").distinct(), "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln((index.n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     q = terms.join(df, "term").select("query_id", "term", (idf * F.col("qtf")).alias("w"))
     tf, length = F.col("tf"), F.col("len")
     part = F.col("w") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * (length / index.mean_length)))
-    return index.postings.join(few(q), "term").groupBy("query_id", "chunk_id", "doc_id").agg(F.sum(part).alias("raw_score"))
+    return met(q, "inner").groupBy("query_id", "chunk_id", "doc_id").agg(F.sum(part).alias("raw_score"))
 
 
 def cut_off(scored: DataFrame, top_k: int) -> DataFrame:

@@ -80,3 +80,28 @@ def test_boosts(spark, corpus):
     cut = corpus.select("chunk_id", "doc_id").withColumns({"query_id": F.lit("q"), "raw_score": F.lit(1.0)})
     got = {r["chunk_id"]: r["boost"] for r in L.boosted(cut, corpus, q).collect()}
     assert got == {"c1": 6 + 3 + 1.5 + 0.75 + 1 + 1, "c2": 2.0, "c3": 0.0, "c4": 0.0}
+
+
+def test_enriched_adds_what_is_absent_or_empty(spark, rows):
+    from siltstone.operators import lexical as L
+
+    docs = spark.createDataFrame([("d", "t", "1/2020", "l", "2020", "k", 1)], "doc_id string, title string, legal_number string, link string, year string, doc_type string, x int")
+    chunks = spark.createDataFrame([("c", "d", "own", " "), ("e", "z", None, None)], "chunk_id string, doc_id string, Title string, link string")
+    got = L.enriched(chunks, docs)
+    assert sorted(c.lower() for c in got.columns) == ["chunk_id", "doc_id", "doc_type", "legal_number", "link", "title", "year"]
+    assert rows(got.select("chunk_id", "title", "link", "year")) == [("c", "own", "l", "2020"), ("e", None, None, None)]
+    assert L.enriched(chunks.limit(0), docs).count() == 0
+
+
+def test_frequent_terms_are_spread_alike(spark, rows, monkeypatch):
+    """Beyond the broadcast bound the scores stay what they are, with one term in every chunk."""
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import lexical as L
+
+    chunks = spark.range(3000).select(F.col("id").cast("string").alias("chunk_id"), F.lit("d").alias("doc_id"), F.concat(F.lit("luật thuế "), F.col("id") % 7).alias("text_norm"), F.lit("").alias("text_raw"), *[F.lit("").alias(c) for c in ("article", "clause", "link", "title", "legal_number")])
+    i = L.build(chunks)
+    terms = L.query_terms(spark.createDataFrame([("q", "luật 3")], "query_id string, question string"), "question")
+    a = rows(L.scores(i, terms).select("chunk_id", F.round("raw_score", 9)))
+    monkeypatch.setattr(L, "BROADCAST_TERMS", 0)
+    assert rows(L.scores(i, terms).select("chunk_id", F.round("raw_score", 9))) == a and len(a) == 3000
