@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.chunking import split_oversized
+from siltstone.llm.chunking import MAX_WORDS, OVERLAP, split_oversized
 from siltstone.llm.lookalike import look_alikes, same_form
 from siltstone.sources.tables import table
 
@@ -23,6 +23,16 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, False)
 
 
+def p2_piece_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What all pieces must fulfil, by table: items and words whole, no piece too long, the overlap of every later piece as asked."""
+    p = p2_pieces(spark, d).withColumn("digest", F.md5("text"))
+    one = p.groupBy("table_name", "item_id", "doc_id", "article", "clause", "point", "piece_no", "start_word", "n_words", "n_repeated").agg(F.count(F.lit(1)).alias("n"))
+    return one.groupBy("table_name").agg(
+        F.sum(F.when(F.col("piece_no") == 0, F.col("n")).otherwise(0)).alias("n_items"), F.sum((F.col("n_words") - F.col("n_repeated")) * F.col("n")).alias("n_new_words"),
+        F.count_if(F.col("n_words") > MAX_WORDS).alias("n_too_long"), F.count_if((F.col("piece_no") > 0) & (F.col("n_repeated") != OVERLAP)).alias("n_other_overlap"),
+    )
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Items that the operator cut: those with a second piece."""
     return _pieces(spark, d, True).filter("piece_no = 1").select("table_name", "item_id").distinct()
@@ -36,7 +46,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alikes(table(spark, d, "macro_chunks"), ["text_raw", "text_norm"], "chunk_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p6_found": p6_found, "p6_forms": p6_forms}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_piece_checks": p2_piece_checks, "p6_found": p6_found, "p6_forms": p6_forms}
 
 _WHITE = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -63,6 +73,11 @@ SQL = {
     "p2_found": f"""
       SELECT DISTINCT 'macro_chunks' AS table_name, chunk_id AS item_id FROM macro_chunks WHERE len(regexp_extract_all(text, '[^{_WHITE}]+')) > 800
       UNION SELECT 'legal_units', unit_id FROM legal_units WHERE len(regexp_extract_all(text, '[^{_WHITE}]+')) > 800""",
+    "p2_piece_checks": " UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, count(*) AS n_items, sum(len(regexp_extract_all(text, '[^{_WHITE}]+')))::BIGINT AS n_new_words, 0::BIGINT AS n_too_long, 0::BIGINT AS n_other_overlap
+          FROM (SELECT DISTINCT {key}, doc_id, article, clause, point, text FROM {name} WHERE text IS NOT NULL)"""
+        for name, key in (("macro_chunks", "chunk_id"), ("legal_units", "unit_id"))
+    ),
     "p6_found": f"""
       WITH s AS ({_SAME}) SELECT DISTINCT a.field AS field, a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b
       FROM s a JOIN s b ON a.field = b.field AND a.form = b.form AND a.chunk_id < b.chunk_id AND a.v <> b.v WHERE a.form <> ''""",
