@@ -13,10 +13,10 @@ comes later than every register of its text, so a long text costs about one
 point an element.
 
 Texts with equal bags form one class first; only classes are banded.  Classes
-that share a band and whose sizes allow the threshold are compared by one bit
-of every register, which leaves out pairs 4.2 standard deviations below the
-agreement expected at the threshold, and the others are verified on the whole
-bags.  Bands have as many rows as ``REGISTERS`` registers allow while a pair at
+that share a band and whose sizes allow the threshold are candidates; these are
+compared by one bit of every register, which leaves out pairs 4.2 standard
+deviations below the agreement expected at the threshold, and the others are
+verified on the whole bags.  Bands have as many rows as ``REGISTERS`` registers allow while a pair at
 the threshold is missed with a probability of ``MISSED`` at most; pairs above
 it are missed less.
 
@@ -44,7 +44,7 @@ from siltstone.llm.components import solve
 from siltstone.operators.skew import grid_join, salted_join
 from siltstone.storage import cut
 
-MISSED, REGISTERS, BROADCAST_IDS = 0.0015, 256, 200_000
+MISSED, REGISTERS, BROADCAST_IDS = 0.0015, 512, 200_000
 _word = re.compile(r"[^\W_]+")
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -263,17 +263,20 @@ def links(texts: DataFrame, words: int = 5, threshold: float = 0.8, min_words: i
     sig = cut(signature_table(texts, words, min_words, weighted, bands, rows), "signatures")
     members = sig.select("class_key", "id").distinct()
     first = sig.filter("keys is not null")
-    # A band row carries its text's whole sketch, so that what shares a band by chance is left out inside the join.
     m = bands * rows
-    sketched = [F.get("bits", F.lit(i)).alias(f"xa{i}") for i in range(-(-m // 64))]
-    band = first.select(F.explode("keys").alias("key"), F.col("c").alias("a"), F.col("size").alias("na"), *sketched)
+    band = first.select(F.explode("keys").alias("key"), F.col("c").alias("a"), F.col("size").alias("na"))
     band = band.repartition("key").dropDuplicates(["key", "a"])
-    other = band.select("key", *[F.col(c).alias(c.replace("a", "b")) for c in band.columns[1:]])
-    differ = sum((F.bit_count(F.col(f"xa{i}").bitwiseXOR(F.col(f"xb{i}"))) for i in range(len(sketched))), F.lit(0))
-    alike = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (m - differ >= least_agreement(threshold, m))
+    other = band.select("key", F.col("a").alias("b"), F.col("na").alias("nb"))
     # A band that very many texts share is cut into a grid of tasks; keys alone, from the written signatures, tell which.
     keys = first.select(F.explode("keys").alias("key"))
-    near = grid_join(band, other, ["key"], (["a"], ["b"]), seen=(keys, keys.limit(0))).filter((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+    sized = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
+    met = grid_join(band, other, ["key"], (["a"], ["b"]), seen=(keys, keys.limit(0))).filter((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    # What shares a band by chance is left out by the sketches, which only candidates meet.
+    bits = first.select("c", *[F.get("bits", F.lit(i)).alias(f"x{i}") for i in range(-(-m // 64))]).dropDuplicates(["c"])
+    words_of = range(len(bits.columns) - 1)
+    sides = [bits.select(F.col("c").alias(k), *[F.col(f"x{i}").alias(f"{k}{i}") for i in words_of]) for k in ("a", "b")]
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in words_of), F.lit(0))
+    near = cut(met, "met").join(sides[0], "a").join(sides[1], "b").filter(m - differ >= least_agreement(threshold, m)).select("a", "b")
     pairs = cut(near, "candidates")
     chosen = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     ids = first.join(chosen, "c", "left_semi").groupBy("class_key").agg(F.min("id").alias("id")).select("id").distinct()
