@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -146,6 +148,49 @@ def balanced_order(pairs: DataFrame, seed: int = 42) -> DataFrame:
     return p.join(both, "query_id").withColumn("query_place", F.concat(F.col("one_sided").cast("string"), F.md5(F.concat(F.lit(f"{seed}:"), "query_id"))))
 
 
+def sampled_order(pairs: DataFrame, seed: int = 42, epoch: int = 0, blocked: bool = False) -> DataFrame:
+    """``pairs`` with the keys ``round, block, query_place, side`` by which an epoch reads them.
+
+    Each round takes the next positive and the next negative of every query,
+    queries with both first.  ``blocked`` reads the first round of these class by
+    class.  The order of queries changes with the epoch.
+    """
+    o = balanced_order(pairs, seed + epoch)
+    both = F.startswith("query_place", F.lit("0"))
+    block = F.when(F.col("round") > 1, 0).when(both, F.col("side")).otherwise(2) if blocked else F.lit(0)
+    return o.withColumn("block", block)
+
+
+def group_order(groups: DataFrame, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """Listwise groups with ``round, query_place``: one group of every query a round, in an order of queries that changes with the epoch."""
+    w = Window.partitionBy("query_id").orderBy("positive")
+    return groups.withColumn("round", F.row_number().over(w)).withColumn("query_place", F.md5(F.concat(F.lit(f"{seed + epoch}:"), "query_id")))
+
+
+def materialized(make: Callable[[DataFrame], DataFrame], queries: DataFrame, path: str, batches: int = 8) -> DataFrame:
+    """Rows that ``make`` gives for ``queries``, made and stored batch by batch of a hash of the ids.
+
+    A batch that was stored whole is not made again, so a run that was cut off
+    goes on where it stopped.
+    """
+    spark = queries.sparkSession
+    for b in range(batches):
+        target = f"{path}/batch={b}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            make(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == b)).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(path).drop("batch")
+
+
+def validation_candidates(candidates: DataFrame, relevant: DataFrame, questions: DataFrame, folds: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Candidates of every question with its relevant documents as JSON, its fold and, where given, evidence."""
+    gold = relevant.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_set("doc_id"))).alias("gold_doc_ids"))
+    q = questions.select("query_id", F.col("question").alias("query_text")).join(gold, "query_id", "left").withColumn("gold_doc_ids", F.coalesce("gold_doc_ids", F.lit("[]")))
+    out = candidates.select("query_id", "doc_id", "rrf_score").join(q, "query_id").join(folds, "query_id")
+    out = out.withColumn("evidence_text", F.lit(None).cast("string")) if texts is None else out.join(texts.select("query_id", "doc_id", "evidence_text"), ["query_id", "doc_id"], "left")
+    return out.select("query_id", "query_text", "doc_id", "gold_doc_ids", "rrf_score", "evidence_text", "fold")
+
+
 def listwise_groups(pairs: DataFrame, most: int = 7) -> DataFrame:
     """Each positive with the first ``most`` negatives of its query; queries with one side only are left out."""
     neg = best(pairs.filter("label <= 0.5"), ["query_id"], [F.asc("retrieval_rank"), F.asc("doc_id")], most, "_n").groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "doc_id"))), lambda x: x["doc_id"]).alias("negatives"))

@@ -193,6 +193,31 @@ def s_p05_stored_folds(s, d):
     return S.folds_from_json(s, f"{path}/one.json").intersect(S.folds_from_json(s, f"{path}/other.json"))
 
 
+def s_p13_pairs(s, d):
+    """Pairs stored in batches of queries; one batch is lost and made again, the others are kept."""
+    pairs, path = cut(A._pairs(s, d), "all-pairs"), new_path(s, "materialized")
+    make = lambda q: pairs.join(q, "query_id", "left_semi")
+    q = C.questions(s, d).select("query_id")
+    N.materialized(make, q, path, 3)
+    fs, p = stores._fs(s, f"{path}/batch=1/_SUCCESS")
+    fs.delete(p, False)
+    return N.materialized(make, q, path, 3).select("query_id", "doc_id", F.col("label").cast("int").alias("label"), "retrieval_rank")
+
+
+def s_p13_candidates(s, d):
+    """Validation candidates of every question."""
+    got = N.validation_candidates(V._fused(s, d), C.relevant(s, d), V._questions(s, d), S.bucket_folds(C.questions(s, d).select("query_id")))
+    return got.select("query_id", "doc_id", "gold_doc_ids", F.round("rrf_score", 8).alias("rrf_score"), "fold", F.md5("query_text").alias("digest"))
+
+
+def s_p15_blocked(s, d):
+    return N.sampled_order(A._pairs(s, d), epoch=1, blocked=True).select("query_id", "doc_id", "side", "round", "block", "query_place")
+
+
+def s_p15_groups(s, d):
+    return N.group_order(N.listwise_groups(A._pairs(s, d)), epoch=2).select("query_id", "positive", "round", "query_place")
+
+
 def s_p17_steps(s, d):
     eligible = N.coverage(A._pairs(s, d), C.questions(s, d)).first()["eligible"]
     return s.createDataFrame([(eligible, N.required_steps(eligible, 2, 8))], "eligible long, steps long")
@@ -285,6 +310,14 @@ SQL = {
     "k09_headers": f"{P.with_tables('docs')} SELECT doc_id, '[VĂN BẢN]: ' || coalesce(title, '') || CASE WHEN coalesce(legal_number, '') <> '' THEN ' (Số: ' || legal_number || ')' ELSE '' END AS header FROM docs",
     "o03_best": f"{A.ranks_sql(50)} SELECT query_id, branch, doc_id, rank FROM (SELECT query_id, branch, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, branch, doc_id) AS rank FROM ranks) WHERE rank <= 3",
     "s_p05_stored_folds": f"{P.with_tables('qs')}, f AS (SELECT query_id, {V._FOLD} AS fold FROM qs), n AS (SELECT DISTINCT fold FROM f) SELECT n.fold AS fold, CASE WHEN n.fold = f.fold THEN 'val' ELSE 'train' END AS side, query_id FROM n, f",
+    "s_p13_pairs": f"{A._PAIRS} SELECT query_id, doc_id, label::INT AS label, retrieval_rank FROM pp",
+    "s_p13_candidates": f"""{V._CAND}, gd AS (SELECT query_id, '[' || string_agg('"' || doc_id || '"', ',' ORDER BY doc_id) || ']' AS g FROM rels GROUP BY query_id)
+      SELECT t.query_id AS query_id, doc_id, coalesce(g, '[]') AS gold_doc_ids, round(rrf_score, 8) AS rrf_score, {V._FOLD.replace('query_id', 't.query_id')} AS fold, md5(question_raw) AS digest FROM top t JOIN qs ON qs.query_id = t.query_id LEFT JOIN gd ON gd.query_id = t.query_id""",
+    "s_p15_blocked": f"""{A._PAIRS}, sd AS (SELECT *, CASE WHEN label > 0.5 THEN 0 ELSE 1 END AS side FROM pp), b AS (SELECT query_id, CASE WHEN count(DISTINCT side) < 2 THEN '1' ELSE '0' END AS one FROM sd GROUP BY ALL),
+      od AS (SELECT query_id, doc_id, side, one, row_number() OVER (PARTITION BY query_id, side ORDER BY retrieval_rank, doc_id) AS round FROM sd JOIN b USING (query_id))
+      SELECT query_id, doc_id, side, round, CASE WHEN round > 1 THEN 0 WHEN one = '0' THEN side ELSE 2 END AS block, one || md5('43:' || query_id) AS query_place FROM od""",
+    "s_p15_groups": f"""{A._PAIRS}, ps AS (SELECT DISTINCT query_id, doc_id AS positive FROM pp WHERE label > 0.5 AND query_id IN (SELECT query_id FROM pp WHERE label <= 0.5))
+      SELECT query_id, positive, row_number() OVER (PARTITION BY query_id ORDER BY positive) AS round, md5('44:' || query_id) AS query_place FROM ps""",
     "s_p17_steps": f"{A._PAIRS}, h AS (SELECT query_id FROM pp GROUP BY query_id HAVING count(DISTINCT label) = 2) SELECT count(*) AS eligible, ceil(2 * count(*) / 16.0)::BIGINT AS steps FROM h",
     "s_p21_schema": _rows("given, kind", "'triples', 'pairwise'", "'pairs', 'pointwise'", "'both', 'pairwise'"),
     "v07_same_scores": f"{V._CAND} SELECT query_id, doc_id FROM top WHERE CAST(('0x' || left(md5(query_id || doc_id), 2)) AS INT) < 3",

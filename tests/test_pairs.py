@@ -118,3 +118,27 @@ def test_stored_splits(spark, tmp_path):
     assert {tuple(r) for r in q.collect()} == {("a", "train"), ("b", "val")} and {tuple(r) for r in d.collect()} == {("1", "train"), ("9", "val")}
     many = spark.createDataFrame([(f"q{i}", f"d{i // 2}") for i in range(40)], "query_id string, doc_id string")
     assert set(S.write_splits(many.select("query_id"), many, f"file://{tmp_path}/s").values()) == {0}
+
+
+def test_samplers_and_batches(spark, rows, tmp_path):
+    """Rounds interleave or block the classes of a query; an epoch reorders queries; a lost batch is made again alone."""
+    data = [("a", "p1", 1.0, 0), ("a", "n1", 0.0, 1), ("a", "n2", 0.0, 2), ("b", "p2", 1.0, 0), ("b", "n3", 0.0, 1), ("c", "p3", 1.0, 0)]
+    pairs = spark.createDataFrame(data, "query_id string, doc_id string, label double, retrieval_rank int")
+    read = lambda o: [r["doc_id"] for r in o.orderBy("round", "block", "query_place", "side").collect()]
+    plain, blocked = read(N.sampled_order(pairs)), read(N.sampled_order(pairs, blocked=True))
+    assert sorted(plain[:4]) == ["n1", "n3", "p1", "p2"] and plain[0][0] == "p" and plain[1][0] == "n" and plain[4:] == ["p3", "n2"]
+    assert sorted(blocked[:2]) == ["p1", "p2"] and sorted(blocked[2:4]) == ["n1", "n3"] and blocked[4:] == ["p3", "n2"]
+    places = {e: sorted((r["query_place"], r["query_id"]) for r in N.sampled_order(pairs, epoch=e).collect()) for e in range(6)}
+    assert len({tuple(dict.fromkeys(q for _, q in p)) for p in places.values()}) > 1
+    groups = spark.createDataFrame([("a", "p1"), ("a", "p2"), ("b", "p3")], "query_id string, positive string")
+    assert [r["round"] for r in N.group_order(groups).orderBy("round", "query_place").collect()] == [1, 1, 2]
+    made, queries = [], pairs.select("query_id").distinct()
+
+    def make(q):
+        made.append(1)
+        return pairs.join(q, "query_id", "left_semi")
+
+    path = str(tmp_path / "m")
+    assert N.materialized(make, queries, path, 4).count() == 6 and len(made) == 4
+    (tmp_path / "m" / "batch=2" / "_SUCCESS").unlink()
+    assert rows(N.materialized(make, queries, path, 4).select(*pairs.columns)) == rows(pairs) and len(made) == 5
