@@ -180,6 +180,27 @@ def winner(learned: dict[str, float], fixed: dict[str, float]) -> str:
     return "learned" if key(learned) > key(fixed) else "fixed"
 
 
+def gated(df: DataFrame, columns: list[str], relevant: DataFrame, predeclared: bool = False, k: int = 5) -> tuple[str, DataFrame, dict[str, dict[str, float]]]:
+    """The ranking that wins the selection gate, its rows, and the pooled measures of both.
+
+    The learned ranking is cross-fitted, so every row is ranked by a model that
+    has not seen its fold; both are measured on the answers of all folds
+    together.  ``predeclared`` takes fixed fusion and fits nothing.
+    """
+    from siltstone.operators import metrics
+    from siltstone.operators.rerank import answers
+
+    ranked = {"fixed": rank_by_fixed(df)} | ({} if predeclared else {"learned": cross_fitted(df, columns)})
+    asked = relevant.join(df.select("query_id").distinct(), "query_id", "left_semi")
+    pooled = {}
+    for name, rows in ranked.items():
+        a = answers(rows.select("query_id", "doc_id", F.col("final_rank").alias("rank")), k)
+        m = metrics.means(metrics.per_query(a, asked)).first()
+        pooled[name] = {c: m[c] or 0.0 for c in ("recall", "precision")}
+    chosen = "fixed" if predeclared else winner(pooled["learned"], pooled["fixed"])
+    return chosen, ranked[chosen], pooled
+
+
 def rank_by_fixed(df: DataFrame) -> DataFrame:
     """Final fusion on feature rows."""
     names = {"raw_bm25_rank": "bm25_rank", "pyvi_bm25_rank": "bm25_pyvi_rank"}

@@ -215,6 +215,19 @@ def l07_cross_fitted(s, d):
     return got.select("query_id", "doc_id", "fold", F.round("final_score", 6).alias("final_score"), "final_rank")
 
 
+def l07_gate(s, d):
+    """Pooled measures of learned and fixed fusion on held-out features, and which of them the gate takes."""
+    f = cut(_held_out(s, d), "features")
+    chosen, _, pooled = G.gated(f, HELD_OUT, C.relevant(s, d))
+    return s.createDataFrame([(k, round(m["recall"], 6), round(m["precision"], 6), k == chosen) for k, m in sorted(pooled.items())], "ranking string, recall double, precision double, chosen boolean")
+
+
+def l07_predeclared(s, d):
+    """The gate with fixed fusion declared beforehand, on features of all folds."""
+    chosen, _, pooled = G.gated(cut(_features(s, d), "features"), LEARNED, C.relevant(s, d), predeclared=True)
+    return s.createDataFrame([(chosen, round(pooled["fixed"]["recall"], 6), round(pooled["fixed"]["precision"], 6))], "ranking string, recall double, precision double")
+
+
 def l03_boosted(s, d):
     """Pointwise boosted trees; each fold is ranked by a model of the others."""
     got = G.cross_boosted(cut(_held_out(s, d), "features"), HELD_OUT, rounds=5, depth=3).filter("final_rank <= 5")
@@ -255,7 +268,7 @@ def p18_losses(s, d):
 QUERIES = {
     "e01_chunk_info": e01_chunk_info, "e02_query_info": e02_query_info, "e03_chunk_scores": e03_chunk_scores, "e04_selected": e04_selected, "e05_packs": e05_packs, "e05_token_packs": e05_token_packs,
     "e06_records": e06_records, "e07_lines": e07_lines, "e08_positives": e08_positives, "k01_pair_scores": k01_pair_scores, "k02_shared_words": k02_shared_words, "k03_by_document": k03_by_document,
-    "k04_reranked": k04_reranked, "k05_texts": k05_texts, "k06_ensemble": k06_ensemble, "l01_final": l01_final, "l02_ridge": l02_ridge, "l03_boosted": l03_boosted, "l05_matrix": l05_matrix, "l11_by_fixed": l11_by_fixed, "k08_table": k08_table, "l04_features": l04_features, "l12_features": l12_features, "l06_prior": l06_prior, "l07_cross_fitted": l07_cross_fitted,
+    "k04_reranked": k04_reranked, "k05_texts": k05_texts, "k06_ensemble": k06_ensemble, "l01_final": l01_final, "l02_ridge": l02_ridge, "l03_boosted": l03_boosted, "l05_matrix": l05_matrix, "l11_by_fixed": l11_by_fixed, "k08_table": k08_table, "l04_features": l04_features, "l12_features": l12_features, "l06_prior": l06_prior, "l07_cross_fitted": l07_cross_fitted, "l07_gate": l07_gate, "l07_predeclared": l07_predeclared,
     "l08_answers": l08_answers, "l10_static_fusion": l10_static_fusion, "q18_losses": p18_losses,
 }
 
@@ -403,3 +416,11 @@ SQL = {
       hit AS (SELECT t.query_id, t.rank FROM ftop t JOIN rels r ON r.query_id = t.query_id AND r.doc_id = t.doc_id), pq AS (SELECT g.query_id, g, n, count(h.rank) AS h5, coalesce(1.0 / min(h.rank), 0) AS mrr FROM gold g LEFT JOIN len l USING (query_id) LEFT JOIN hit h ON h.query_id = g.query_id GROUP BY g.query_id, g, n)
       SELECT round(avg(h5 / g::DOUBLE), 6) AS recall, round(avg(coalesce(h5 / n::DOUBLE, 0)), 6) AS precision, round(avg(mrr), 6) AS mrr, count(*) AS n_queries FROM pq""",
 }
+SQL["l07_predeclared"] = f"SELECT 'fixed' AS ranking, recall, precision FROM ({SQL['l11_by_fixed']})"
+_TOKEN_PACKS = f"""{_chosen(2)}, {_LABELS}, tp AS (SELECT p.*, nullif(p.article, '') AS a1, CASE WHEN c.clause <> '' AND NOT contains(p.article, c.clause) THEN c.clause END AS c1, CASE WHEN c.point <> '' AND NOT contains(p.article, c.point) THEN c.point END AS p1
+    FROM part p JOIN (SELECT chunk_id, any_value(clause) AS clause, any_value(point) AS point FROM info GROUP BY chunk_id) c USING (chunk_id)),
+  tq AS (SELECT *, concat_ws(', ', a1, c1, p1) AS prefix, greatest(100, 480 - length(head) - n * 15) AS room FROM tp),
+  tr AS (SELECT *, CASE WHEN prefix <> '' AND NOT starts_with(body, prefix) THEN prefix || ': ' || body ELSE body END AS content, {_SHARE} AS lim FROM tq),
+  ts AS (SELECT query_id, doc_id, any_value(head) || ' ' || string_agg('[EVIDENCE ' || i || '] ' || {_cut('content', 'lim')}, ' ' ORDER BY i) AS pack FROM tr GROUP BY ALL),
+  tw AS (SELECT *, list_filter(regexp_split_to_array(pack, '{X.WS}+'), lambda w: w <> '') AS words FROM ts)"""
+SQL["e05_token_packs"] = f"{_TOKEN_PACKS} SELECT query_id, doc_id, CASE WHEN len({P.word_tokens('pack')}) > 120 AND len(words) > 108 THEN array_to_string(words[1:108], ' ') || '...' ELSE pack END AS pack FROM tw"

@@ -163,3 +163,15 @@ def test_folds_do_not_see_their_own_questions(spark):
     before, after = run(texts), run([*texts, ("9", "thuế thuế đất", 0)])
     assert before and all((int(a) + int(b)) % 2 for a, b in before)
     assert {k: v for k, v in after.items() if int(k[0]) % 2 == 0 and k[0] != "9"} == pytest.approx({k: v for k, v in before.items() if int(k[0]) % 2 == 0})
+
+
+def test_selection_gate(spark, table):
+    """The better pooled recall wins; declared beforehand, fixed fusion is taken and nothing is fitted."""
+    df, rows = table
+    names = ["raw_bm25_rank", "pyvi_bm25_rank", "dense_rank", "memory_rank"]
+    f = df.withColumns({n: F.lit(999.0) for n in names} | {"exact_score": F.lit(0.0), "reranker_score": F.lit(-999.0), "rrf_score": F.rand(3), "a": F.col("label") + F.rand(5) / 10})
+    rel = f.filter("label = 1").select("query_id", "doc_id")
+    name, ranked, pooled = G.gated(f, ["a", "b", "c"], rel)
+    assert name == "learned" and pooled["learned"]["recall"] > pooled["fixed"]["recall"] and ranked.count() == 400
+    name, ranked, pooled = G.gated(f, ["a", "b", "c"], rel, predeclared=True)
+    assert name == "fixed" and list(pooled) == ["fixed"] and ranked.count() == 400
