@@ -47,6 +47,7 @@ def query_info(queries: DataFrame) -> DataFrame:
     return q.withColumn("q_phrases", phrases)
 
 
+#: The points of ``signal_score``: articles 20, 18, 12; clauses 8, 5; points 4, 3; numbers 6; years 1.5; phrases 2.5 each; prior chunk 5.
 def _tiers(*pairs: tuple[Column, float]) -> Column:
     out = F.when(pairs[0][0], F.lit(pairs[0][1]))
     for test, value in pairs[1:]:
@@ -124,6 +125,7 @@ def selected(scored: DataFrame, max_chunks: int, skip_empty: bool = True) -> Dat
     return g.select("query_id", "doc_id", F.transform(F.slice(F.concat("first", rest), F.lit(1), F.lit(max_chunks)), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["article"].alias("article"), x["clause"].alias("clause"), x["point"].alias("point"), x["body"].alias("body"), x["score"].alias("score"))).alias("chunks"))
 
 
+#: The markers [DOCUMENT], [EVIDENCE n], [VĂN BẢN], [ĐIỀU KHOẢN], [NỘI DUNG] and the stand-in texts of documents without a title.
 def document_label(doc_id: Column, title: Column, name: Column, number: Column) -> Column:
     t = X.shown(title, X.shown(name, F.concat(F.lit("Văn bản "), doc_id)))
     n = X.shown(number)

@@ -46,6 +46,7 @@ def fold_prior(relevant: DataFrame, folds: DataFrame) -> DataFrame:
     return every.select("fold", "doc_id", (rest / F.greatest(F.col("n") - F.col("held"), F.lit(1))).alias("train_doc_freq"))
 
 
+#: The names under which a feature may come, in the order in which they are tried.
 def features(candidates: DataFrame, prior: DataFrame | None = None, relevant: DataFrame | None = None) -> DataFrame:
     """The 42 features and the label of candidate rows.
 

@@ -152,6 +152,7 @@ def window_spans(n: Column, size: int, overlap: int) -> Column:
 CHUNK = "chunk_id string, doc_id string, granularity string, chapter string, section string, article string, clause string, point string, text_raw string, text_norm string, parent_chunk_id string, token_count int, is_empty boolean"
 
 
+#: The markers in chunk texts ([VĂN BẢN], [ĐOẠN n], [CĂN CỨ], [ĐIỀU KHOẢN], [NỘI DUNG]), labels and ids of chunks, and 30 words for a preamble.
 class _Chunker:
     """Chunks of one document: macros with their micros."""
 
