@@ -12,7 +12,7 @@ def windows(df) -> int:
     return df._jdf.queryExecution().optimizedPlan().toString().count("Window ")
 
 
-@pytest.mark.parametrize("name, most", [("j06_numbers", 0)])
+@pytest.mark.parametrize("name, most", [("j06_numbers", 0), ("r11_exact", 2)])
 def test_exact_plans(spark, name, most):
     """What is left of the tables' cleaning in the last step: the chunks' and the ranking."""
     assert windows(E.queries()[name](spark, SF)) <= most + (name == "j04_titles_inside")
