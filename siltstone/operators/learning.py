@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import safe_number
 from siltstone.operators.ranking import best, final_rrf, steady
 from siltstone.sources.stores import read_bytes, write_bytes
+from siltstone.storage import settled
 
 ABSENT_RANK, UNSCORED = 999.0, -999.0
 #: Names of the features, the core ones and the auxiliary ones.
@@ -37,7 +38,7 @@ def fold_prior(relevant: DataFrame, folds: DataFrame) -> DataFrame:
 
     Judgements of queries without a fold train no fold.
     """
-    r = relevant.select("query_id", "doc_id").dropna().distinct().join(folds.select("query_id", "fold").distinct(), "query_id")
+    r = settled(relevant.select("query_id", "doc_id").dropna().distinct().join(folds.select("query_id", "fold").distinct(), "query_id"), "judgements")
     own = r.groupBy("fold", "doc_id").agg(F.count(F.lit(1)).alias("own"))
     sizes = folds.select("fold").distinct().join(r.groupBy("fold").agg(F.count_distinct("query_id").alias("held")), "fold", "left").withColumn("held", F.coalesce("held", F.lit(0)))
     n = F.broadcast(sizes.crossJoin(F.broadcast(sizes.agg(F.sum("held").alias("n")))))  # one row a fold

@@ -20,7 +20,7 @@ from siltstone.plans import sqlparts as P
 from siltstone.plans.retrieval import _FUSED, ranked_sql, ranks_sql
 from siltstone.sources import canonical as C
 from siltstone.sources.tables import table
-from siltstone.storage import cut
+from siltstone.storage import cut, settled
 
 DEPTH, TOP = 200, 10
 
@@ -179,12 +179,13 @@ def _features(s, d):
 
 
 def _held_out(s, d):
-    """Features of candidates with question memory and document prior of the other folds."""
-    q, rel = _questions(s, d), C.relevant(s, d)
-    folds = bucket_folds(q.select("query_id"))
-    memory = O.fold_memory(q, q, rel, folds, O.Settings(memory_threshold=Y.THRESHOLD)).drop("best_chunk_id")
+    """Features of candidates with question memory and document prior of the other folds; each table is read and cleaned once."""
+    q, rel = settled(_questions(s, d), "questions"), settled(C.relevant(s, d), "relevant")
+    folds = settled(bucket_folds(q.select("query_id")), "folds")
+    memory = settled(O.fold_memory(q, q, rel, folds, O.Settings(memory_threshold=Y.THRESHOLD)).drop("best_chunk_id"), "memory")
     ranks = R.branch_ranks(table(s, d, "static_candidates"), DEPTH).select("query_id", "branch", "doc_id", "rank", "score")
-    return O.fold_features(R.fuse(ranks.unionByName(memory), top_k=30), q, rel, folds)
+    fused = settled(R.fuse(ranks.unionByName(memory), top_k=30), "fused")
+    return O.fold_features(fused, q, rel, folds)
 
 
 def _shown_features(f):
@@ -211,13 +212,13 @@ def l02_ridge(s, d):
 
 
 def l07_cross_fitted(s, d):
-    got = G.cross_fitted(cut(_held_out(s, d), "features"), HELD_OUT).filter("final_rank <= 5")
+    got = G.cross_fitted(settled(_held_out(s, d), "features"), HELD_OUT).filter("final_rank <= 5")
     return got.select("query_id", "doc_id", "fold", F.round("final_score", 6).alias("final_score"), "final_rank")
 
 
 def l07_gate(s, d):
     """Pooled measures of learned and fixed fusion on held-out features, and which of them the gate takes."""
-    f = cut(_held_out(s, d), "features")
+    f = settled(_held_out(s, d), "features")
     chosen, _, pooled = G.gated(f, HELD_OUT, C.relevant(s, d))
     return s.createDataFrame([(k, round(m["recall"], 6), round(m["precision"], 6), k == chosen) for k, m in sorted(pooled.items())], "ranking string, recall double, precision double, chosen boolean")
 
@@ -230,7 +231,7 @@ def l07_predeclared(s, d):
 
 def l03_boosted(s, d):
     """Pointwise boosted trees; each fold is ranked by a model of the others."""
-    got = G.cross_boosted(cut(_held_out(s, d), "features"), HELD_OUT, rounds=5, depth=3).filter("final_rank <= 5")
+    got = G.cross_boosted(settled(_held_out(s, d), "features"), HELD_OUT, rounds=5, depth=3).filter("final_rank <= 5")
     return got.select("query_id", "doc_id", F.round("final_score", 6).alias("final_score"), "final_rank")
 
 

@@ -2,8 +2,11 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
 from siltstone.operators import exact as X
+from siltstone.operators import memory as M
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +31,19 @@ def test_contained_shuffles_no_substrings(spark):
         got = X.contained(q, t, block)
         assert sorted(tuple(r) for r in got.collect()) == want and len(want) == 6
         assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_similar_questions_write_no_candidates(spark, block):
+    """Pairs are found and verified in one pass a block; nothing is joined or shuffled after it."""
+    texts = [(f"{i:02d}", f"thuế đất {i % 7} nộp {i % 5} chậm {i % 3}", i % 2) for i in range(40)]
+    q = spark.createDataFrame(texts, "query_id string, text string, part int")
+    got = M.similar(q, q, 0.6, block=block)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    rows = {(r["part"], r["query_id"], r["train_id"]): r["lexical"] for r in got.collect()}
+    tf, df = M.fitted(q)
+    w = M.weighted(tf, df)
+    a, b = w.select("part", "g", "query_id", F.col("w").alias("x")), w.select("part", "g", F.col("query_id").alias("train_id"), F.col("w").alias("y"))
+    every = a.join(b, ["part", "g"]).filter("query_id != train_id").groupBy("part", "query_id", "train_id").agg(F.sum(F.col("x") * F.col("y")).alias("s")).filter("s >= 0.6 - 1e-9")
+    assert rows == pytest.approx({tuple(r)[:3]: r["s"] for r in every.collect()}) and len(rows) > 20
