@@ -47,3 +47,20 @@ def test_similar_questions_write_no_candidates(spark, block):
     a, b = w.select("part", "g", "query_id", F.col("w").alias("x")), w.select("part", "g", F.col("query_id").alias("train_id"), F.col("w").alias("y"))
     every = a.join(b, ["part", "g"]).filter("query_id != train_id").groupBy("part", "query_id", "train_id").agg(F.sum(F.col("x") * F.col("y")).alias("s")).filter("s >= 0.6 - 1e-9")
     assert rows == pytest.approx({tuple(r)[:3]: r["s"] for r in every.collect()}) and len(rows) > 20
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_training_questions_are_written_once(spark, block, monkeypatch):
+    """The memory of other folds equals that of questions repeated for every part, of which no repeated one is written."""
+    rows = [(f"{i:02d}", f"thuế đất {i % 7} nộp {i % 5} chậm {i % 3}" if i % 11 else None, i % 4) for i in range(40)] + [("a", "khác hẳn", None), ("b", "thuế đất đất đất 1 nộp 2", 9)]
+    q = spark.createDataFrame(rows, "query_id string, text string, fold long")
+    train = q.filter("query_id != '07'")
+    parts = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")), lambda p: p != F.col("fold")))
+    want = {tuple(r)[:3]: r["lexical"] for r in M.similar(q.withColumnRenamed("fold", "part"), train.withColumn("part", parts).drop("fold"), 0.6).collect()}
+    written, settled = [], M.settled
+    monkeypatch.setattr(M, "settled", lambda df, name: written.append(settled(df, name)) or written[-1])
+    got = M.across_folds(q, train, 5, 0.6, block)
+    assert sum(t.count() for t in written) <= train.count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert {tuple(r)[:3]: r["lexical"] for r in got.collect()} == pytest.approx(want) and len(want) > 20
