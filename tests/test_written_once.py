@@ -64,3 +64,14 @@ def test_training_questions_are_written_once(spark, block, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
     assert {tuple(r)[:3]: r["lexical"] for r in got.collect()} == pytest.approx(want) and len(want) > 20
+
+
+def test_blocks_of_held_questions_have_one_fold(spark, monkeypatch):
+    """So a training question is weighed for one part a block, whatever the number of folds."""
+    q = spark.createDataFrame([(f"{i:02d}", f"thuế đất {i % 7} nộp {i % 5}", i % 4) for i in range(40)], "query_id string, text string, fold long")
+    paths, blocked = [], M._blocked
+    monkeypatch.setattr(M, "_blocked", lambda *a: paths.append(blocked(*a)) or paths[-1])
+    M.across_folds(q, q, 4, 0.6, block=3)
+    got = spark.read.parquet(paths[0])
+    assert got.count() == 40 and got.select("block").distinct().count() > 4
+    assert got.groupBy("block").agg(F.count_distinct("part").alias("n")).filter("n > 1").count() == 0
