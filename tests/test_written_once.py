@@ -75,3 +75,15 @@ def test_blocks_of_held_questions_have_one_fold(spark, monkeypatch):
     got = spark.read.parquet(paths[0])
     assert got.count() == 40 and got.select("block").distinct().count() > 4
     assert got.groupBy("block").agg(F.count_distinct("part").alias("n")).filter("n > 1").count() == 0
+
+
+def test_predicted_memory_is_written_once(spark, rows, monkeypatch):
+    """Without parts, the memory branch counts n-grams a question and not a row each; the votes are those of ``similar``."""
+    from siltstone.plans import pipeline as P
+
+    q = spark.createDataFrame([(f"{i:02d}", f"thuế đất {i % 7} nộp {i % 5} chậm {i % 3}") for i in range(40)] + [("none", None)], "query_id string, question string")
+    rel = q.select("query_id", F.concat(F.lit("d"), F.col("query_id")).alias("doc_id")).filter("query_id != '07'")
+    cols = ["query_id", "branch", "doc_id", "rank", F.round("score", 8)]
+    want = rows(P.memory_branch(q.withColumn("part", F.lit(0)), q.withColumn("part", F.lit(0)), rel, P.Settings()).select(*cols))
+    monkeypatch.setattr(P.memory, "similar", None)
+    assert rows(P.memory_branch(q, q, rel, P.Settings()).select(*cols)) == want and len(want) > 20
