@@ -2,14 +2,16 @@
 
 Texts are split into words by the vocabulary's public pattern on the JVM side.
 A word is encoded by a fold over its byte array, which merges, step by step, the
-leftmost of the adjacent pairs of lowest rank that a literal rank map in the plan
+leftmost of the adjacent pairs of lowest rank that a rank map, one value of the plan,
 names.  The ``FREQUENT`` most frequent distinct words, a fixed bound, are encoded
-once and become a second literal; every other word is folded where it stands, as
+once and become a second value; every other word is folded where it stands, as
 these are few by definition.  So one pass over the texts makes the ids: no word,
-text or id is shuffled, joined or broadcast, at any size.  Words over ``LONG``
-bytes, where the fold's quadratic cost would show, are merged by a heap in Arrow
-batches with the same result; texts that may hold one are told apart by a
-pattern.  Decoding concatenates the tokens' binary pieces.
+text or id is shuffled, joined or broadcast, at any size.  Both values are scalar
+subqueries over written tables of one row.  As literals they stood, spelled out,
+in every plan, and the driver keeps and logs the texts of plans, 40 MB a run.
+Words over ``LONG`` bytes, where the fold's quadratic cost would show, are merged
+by a heap in Arrow batches with the same result; texts that may hold one are told
+apart by a pattern.  Decoding concatenates the tokens' binary pieces.
 
 The tokenizer file is a parameter and is read on the driver; its size is fixed.
 
@@ -25,11 +27,11 @@ import heapq
 import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
@@ -75,12 +77,35 @@ def _bucket(pair: int) -> int:
     return (pair * 40503 >> 8) & (BUCKETS - 1)
 
 
-def rank_map(pairs: dict[int, int]) -> Column:
-    """A literal: an array of small maps from pair to merged id."""
+def _ranks(pairs: dict[int, int]) -> list[dict[int, int]]:
     buckets: list[dict] = [{} for _ in range(BUCKETS)]
     for k, v in pairs.items():
-        buckets[_bucket(k)][str(k)] = v
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>").cast("array<map<bigint,int>>")
+        buckets[_bucket(k)][k] = v
+    return buckets
+
+
+def rank_map(pairs: dict[int, int]) -> Column:
+    """A literal: an array of small maps from pair to merged id."""
+    return F.from_json(F.lit(json.dumps(_ranks(pairs), separators=(",", ":"))), "array<map<string,int>>").cast("array<map<bigint,int>>")
+
+
+def _value(spark: SparkSession, value: list, kind: str, name: str) -> Column:
+    """``value`` as a scalar subquery: the plan's text names the table, not what is in it."""
+    return cut(spark.createDataFrame([(value,)], f"value {kind}", verifySchema=False).coalesce(1), name).scalar()
+
+
+def _rank_value(spark: SparkSession, path: str) -> Column:
+    return _value(spark, _ranks(vocabulary(path)[1]), "array<map<bigint,int>>", "ranks")
+
+
+def _with_ids(df: DataFrame, value: Column, ids: Callable[[Column], Column], keep: list[str]) -> DataFrame:
+    """``keep`` and ``ids`` of ``value``, empty for null.
+
+    Spark refuses a subquery written inside a lambda.  So it is a column first, read
+    once, which the optimizer puts in its place: no row ever holds it.
+    """
+    found = F.transform(F.array("_value"), ids)[0]
+    return df.select("*", value.alias("_value")).select(*keep, F.coalesce(found, F.array().cast("array<int>")).alias("ids"))
 
 
 def _rank(ranks: Column, a: Column, b: Column) -> Column:
@@ -142,20 +167,21 @@ def _byte_ids(tokens: list[bytes]) -> list[int]:
     return [at[bytes([x])] for x in range(256)]
 
 
-def folded(word: Column, path: str) -> Column:
-    """``fold_merges`` with the literals of the vocabulary at ``path``."""
+def folded(word: Column, path: str, ranks: Column | None = None) -> Column:
+    """``fold_merges`` with the vocabulary at ``path``; without ``ranks``, its rank map is a literal."""
     tokens, pairs = vocabulary(path)
-    return fold_merges(word, F.from_json(F.lit(json.dumps(_byte_ids(tokens))), "array<int>"), rank_map(pairs))
+    return fold_merges(word, F.from_json(F.lit(json.dumps(_byte_ids(tokens))), "array<int>"), rank_map(pairs) if ranks is None else ranks)
 
 
-def _frequent(counted: DataFrame, path: str) -> Column:
-    """A literal of the ids of the most frequent words; at most ``FREQUENT`` short rows reach the driver."""
+def _frequent(counted: DataFrame, path: str, ranks: Column) -> Column:
+    """One value, the ids of the most frequent words; at most ``FREQUENT`` short rows reach the driver."""
     top = cut(counted.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word"), "words")
-    rows = top.repartition(top.sparkSession.sparkContext.defaultParallelism, "word").withColumn("ids", folded(F.col("word"), path)).collect()
+    spread = top.repartition(top.sparkSession.sparkContext.defaultParallelism, "word")
+    rows = _with_ids(spread, ranks, lambda r: folded(F.col("word"), path, r), ["word"]).collect()
     buckets: list[dict] = [{} for _ in range(BUCKETS)]
     for r in rows:
         buckets[zlib.crc32(r["word"].encode()) & (BUCKETS - 1)][r["word"]] = r["ids"]
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"), ensure_ascii=False)), "array<map<string,array<int>>>")
+    return _value(counted.sparkSession, buckets, "array<map<string,array<int>>>", "frequent")
 
 
 def _with_long(df: DataFrame, path: str) -> DataFrame:
@@ -180,18 +206,22 @@ def encode(df: DataFrame, text: str, path: str | None = None) -> DataFrame:
     path = path or os.path.join(FOLDER, "byte_bpe_50k.tiktoken")
     split = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
     counted = df.select(F.explode(split).alias("word")).filter(F.octet_length("word") <= FREQUENT_BYTES).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    frequent = _frequent(counted, path)
+    ranks = _rank_value(df.sparkSession, path)
+    known = F.struct(ranks.alias("ranks"), _frequent(counted, path, ranks).alias("frequent"))
+
+    def ids(k: Column) -> Column:
+        def usual(w: Column) -> Column:
+            return F.get(k["frequent"], F.crc32(F.encode(w, "UTF-8")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[w]
 
-    def usual(w: Column) -> Column:
-        return F.get(frequent, F.crc32(F.encode(w, "UTF-8")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[w]
+        def of(w: Column, i: Column) -> Column:
+            return F.coalesce(usual(w), F.when(F.octet_length(w) <= LONG, folded(w, path, k["ranks"])).otherwise(F.get("_long", i)))
 
-    def of(w: Column, i: Column) -> Column:
-        return F.coalesce(usual(w), F.when(F.octet_length(w) <= LONG, folded(w, path)).otherwise(F.get("_long", i)))
+        return F.flatten(F.transform("_words", of))
 
     has_long = F.coalesce((F.octet_length(text) > LONG) & F.col(text).rlike(LONG_RUN), F.lit(False))
     rows = df.filter(~has_long).select(*keep, split.alias("_words")).withColumn("_long", F.lit(None).cast("array<array<int>>"))
     rows = rows.unionByName(_with_long(df.filter(has_long).select(*keep, split.alias("_words")), path))
-    return rows.select(*keep, F.coalesce(F.flatten(F.transform("_words", of)), F.array().cast("array<int>")).alias("ids"))
+    return _with_ids(rows, known, ids, keep)
 
 
 def decode(ids: Column, path: str | None = None) -> Column:

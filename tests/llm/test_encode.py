@@ -71,6 +71,21 @@ def test_plan_moves_no_text(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_plans_name_the_vocabulary_only(spark):
+    """The driver keeps and logs the text of every plan: none spells out the rank map or the frequent words, and no row holds them."""
+    def kept():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        rows = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {x.executionId(): len(x.physicalPlanDescription()) for x in map(rows.apply, range(rows.size()))}
+
+    before = kept()
+    out = E.encode(spark.createDataFrame([(1, "một hai " + "x" * 300), (2, "ba")], "doc_id long, text string"), "text")
+    out.write.format("noop").mode("overwrite").save()
+    sizes = [n for k, n in kept().items() if k not in before]
+    assert sizes and max(sizes) < 100_000
+    assert "_value" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert E.encode(df, "text").count() == 0
